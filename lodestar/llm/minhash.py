@@ -95,7 +95,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copies = prints.select("id", "h1", "h2").join(reps.filter("most > rep"), ["h1", "h2"]).filter("id <> rep")
     copies = copies.select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     single = prints.join(reps.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi")
-    keys = single.select("id", F.explode("bands").alias("key")).distinct()
+    keys = single.select("id", F.explode("bands").alias("key"))
     shared = keys.join(keys.withColumnRenamed("id", "other"), "key").filter("id < other")
     pairs = checkpoint(shared.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
     parts = components(pairs)
