@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,9 @@ from lodestar.llm import textkit
 CHUNK_BYTES = 1 << 20
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; an own one only where none is set, as in tests."""
     sc = spark.sparkContext
@@ -59,8 +64,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers that share this file system import the package, wherever the driver was started."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+
+
 def picked(df: DataFrame, **names: str) -> DataFrame:
     """Only these columns, under these names: what else the table has can't clash."""
+    reachable(df.sparkSession)
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in names.items()))
 
 
