@@ -6,18 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontaminate, linededup, minhash, simhash
-from lodestar.llm.common import load
+from lodestar.llm import decontaminate, htmltemplate, linededup, minhash, packing, pii, quality, repeats, simhash, tokencount
+from lodestar.llm.common import fresh_dir, load
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(load(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # an empty cache of its own: all distinct texts are encoded, whatever ran before
+    return tokencount.token_counts(load(spark, sf_dir, "documents"), fresh_dir(spark, "token-counts"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(load(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(load(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.good_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltemplate.extract(load(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(load(spark, sf_dir, "documents"))
 
@@ -27,10 +52,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_simhash": op4_simhash,
-    "op7_decontaminate": op7_decontaminate,
-    "op9_line_dedup": op9_line_dedup,
-    "op10_minhash": op10_minhash,
+    f.__name__: f for f in (op1_packing, op2_pii, op3_token_counts, op4_simhash, op5_repeats, op6_quality, op7_decontaminate, op8_html, op9_line_dedup, op10_minhash)
 }
 
 ORACLE: dict[str, str] = {}

@@ -79,41 +79,48 @@ class Words:
     first: np.ndarray
 
 
-def words(col: pa.Array, alnum: bool = False) -> Words:
-    """Tokenise and hash a column. alnum: words are runs of ASCII letters, digits and non-ASCII bytes instead."""
-    raw, offsets = buffers(col)
+def runs(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, begins: np.ndarray | None = None) -> Words:
+    """The runs of bytes that are inside, cut where texts do and where `begins` is set."""
     n = len(raw)
-    if n == 0:
-        none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
+    if n == 0 or not inside.any():
         return Words(raw, offsets, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    inside = _IS_ALNUM[raw] if alnum else ~_IS_SPACE[raw]
     edge = np.empty(n, dtype=bool)
     edge[0] = inside[0]
     np.greater(inside[1:], inside[:-1], out=edge[1:])
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < n)]
     edge[cut] |= inside[cut]
-    start = np.flatnonzero(edge)
     stop = np.empty(n, dtype=bool)
     stop[-1] = inside[-1]
     np.greater(inside[:-1], inside[1:], out=stop[:-1])
     stop[cut - 1] |= inside[cut - 1]
-    end = np.flatnonzero(stop) + 1
+    if begins is not None:
+        more = np.flatnonzero(begins & inside)
+        edge[more] = True
+        more = more[more > 0]
+        stop[more - 1] |= inside[more - 1]
+    start, end = np.flatnonzero(edge), np.flatnonzero(stop) + 1
     length = end - start
     with np.errstate(over="ignore"):
         spread = np.zeros(n, np.int64)
         spread[start[1:]] = start[1:] - start[:-1]
-        spread[0] = start[0] if len(start) else 0
-        place = np.arange(n) - np.cumsum(spread)  # within its word; what lies between words counts as 0
+        spread[0] = start[0]
+        place = np.arange(n) - np.cumsum(spread)  # within its word
         place[~inside] = 0
         np.maximum(place, 0, out=place)
-        weighed = powers(int(length.max(initial=0)) + 1)[place]
+        weighed = powers(int(length.max()) + 1)[place]
         weighed *= _FOLDED[raw]
         weighed[~inside] = 0
-        value = np.add.reduceat(weighed, start) if len(start) else np.zeros(0, np.uint64)
+        value = np.add.reduceat(weighed, start)
         hashes = mix(value + length.astype(np.uint64) * _BASE)
-    first = np.searchsorted(start, offsets)
-    return Words(raw, offsets, start, end, hashes, first)
+    return Words(raw, offsets, start, end, hashes, np.searchsorted(start, offsets))
+
+
+def words(col: pa.Array, alnum: bool = False) -> Words:
+    """Tokenise and hash a column. alnum: words are runs of ASCII letters, digits and non-ASCII bytes instead."""
+    raw, offsets = buffers(col)
+    return runs(raw, offsets, _IS_ALNUM[raw] if alnum else ~_IS_SPACE[raw])
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -127,7 +134,3 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
         for k in range(n):
             out += hashes[k : k + m] * pw[n - k]
     return mix(out)
-
-
-def text_of(row: np.ndarray) -> str:
-    return row.tobytes().decode("utf-8", errors="replace")
