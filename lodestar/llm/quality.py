@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkit
-from lodestar.llm.common import column, picked, slices
+from lodestar.llm.common import column, picked, reachable, slices
 
 BUCKETS = 1 << 16
 _CLASSES = np.zeros(256, np.uint8)  # 1 upper case, 2 digit, 3 symbol, 4 other than ASCII
@@ -209,6 +209,20 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return base.mapInArrow(run, f"doc_id {kind}, quality double, keep boolean")
 
 
+def kept_rows(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text the model keeps."""
+    if model is None:
+        return docs
+    reachable(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                yield batch.filter(pa.array(document_quality(model, read_lines(column(batch, text_col))) >= model.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = 8000, reject_toxic: bool = True) -> DataFrame:
     """(doc_id, quality) of each row that the classifier keeps; quality in [0, 1], rounded to 6 digits.
 
