@@ -162,7 +162,7 @@ def contaminated(
                     place, item, doc = place[order], item[order], doc[order]
                     fresh = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
                     rows = []
-                    for lo, hi in zip(fresh, np.append(fresh[1:], len(place)), strict=True):
+                    for lo, hi in zip(fresh, np.append(fresh[1:], len(place))[: len(fresh)], strict=True):
                         q, text = sequences[item[lo]], int(doc[lo])
                         reach = len(q) + len(q) // 2
                         spots = place[lo:hi]
