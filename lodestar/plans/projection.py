@@ -43,7 +43,7 @@ edges AS (
   FROM (SELECT DISTINCT a, b FROM calls WHERE b IS NOT NULL AND a <> b) c JOIN symbols x ON x.id = a JOIN symbols y ON y.id = b),
 raw_annotations AS (
   SELECT 'sym:' || user_id AS symbol_uri, event_type AS key, json_extract_string(props, '$.k') AS value, 'user' || user_id AS author_id, CAST(100 AS INTEGER) AS confidence,
-    epoch_ms(ts) AS timestamp_ms, CASE WHEN event_id % 4 = 0 THEN 0 ELSE epoch_ms(ts) + CAST(floor(value * 100000) AS BIGINT) END AS expires_ms, ts, event_id
+    epoch_us(ts) // 1000 AS timestamp_ms, CASE WHEN event_id % 4 = 0 THEN 0 ELSE epoch_us(ts) // 1000 + CAST(floor(value * 100000) AS BIGINT) END AS expires_ms, ts, event_id
   FROM events),
 annotations AS (
   SELECT symbol_uri, key, value, author_id, confidence, timestamp_ms, expires_ms FROM (
@@ -135,7 +135,7 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
         .select("file_uri", "from_uri", "to_uri", F.lit("calls").alias("kind"), (F.col("a") * 100_000_000 + F.col("b")).alias("ordinal"))
     )
     events = table(spark, sf_dir, "events")
-    millis = F.expr("unix_millis(cast(ts as timestamp))")
+    millis = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))")
     latest = Window.partitionBy("symbol_uri", "key").orderBy(F.desc("ts"), F.desc("event_id"))
     annotations = (
         events.select(
