@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.llm import textkit
 from lodestar.llm.common import checkpoint, column, picked, slices
@@ -35,7 +36,7 @@ def parse(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(id, line, content, leaf, tokens) of each line of at least min_tokens tokens."""
+    """(id, line, content, leaf) of each line of at least min_tokens tokens; a leaf has lines of one number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -52,10 +53,10 @@ def lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                     content = textkit.mix(np.add.reduceat(textkit.mix(hashes + np.uint64(1)) * power[place + 1], first[:-1]) if len(count) else leaf)
                 keep = count >= min_tokens
                 ids = column(batch, "id").take(pa.array(own[keep]))
-                arrays = [ids, *(pa.array(x[keep].astype(np.uint64).view(np.int64)) for x in (line, content, textkit.mix(leaf), count))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "line", "content", "leaf", "tokens"])
+                arrays = [ids, *(pa.array(x[keep].astype(np.uint64).view(np.int64)) for x in (line, content, textkit.mix(leaf)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "line", "content", "leaf"])
 
-    return docs.mapInArrow(run, "id long, line long, content long, leaf long, tokens long")
+    return docs.mapInArrow(run, "id long, line long, content long, leaf long")
 
 
 def grow(tokens: list[np.ndarray], similarity: float) -> list[int]:
@@ -86,12 +87,11 @@ def grow(tokens: list[np.ndarray], similarity: float) -> list[int]:
 def recurring(docs: DataFrame, depth: int = 2, similarity: float = 0.8, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
     """(id, line, template, first_id, first_line) of each line whose template at least min_docs documents hold; docs has id and text."""
     found = checkpoint(lines(docs, depth, min_tokens))
-    place = F.struct("id", "line")
-    contents = found.groupBy("content", "leaf", "tokens").agg(F.countDistinct("id").alias("docs"), F.min(place).alias("first"))
+    contents = _counted(found, "content", F.first("leaf").alias("leaf"))
     contents = checkpoint(contents)
     # only leaves of several contents can generalise, and only where enough documents meet
-    leaves = contents.groupBy("leaf", "tokens").agg(F.count("*").alias("many"), F.sum("docs").alias("docs")).filter(f"many > 1 and docs >= {int(min_docs)}")
-    open_ = contents.join(leaves.select("leaf", "tokens"), ["leaf", "tokens"], "left_semi").select("content", "leaf", "first.id", "first.line")
+    leaves = contents.groupBy("leaf").agg(F.count("*").alias("many"), F.sum("docs").alias("docs")).filter(f"many > 1 and docs >= {int(min_docs)}")
+    open_ = contents.join(leaves.select("leaf"), "leaf", "left_semi").select("content", "leaf", "first.id", "first.line")
     wanted = open_.groupBy("id").agg(F.collect_list(F.struct("line", "content", "leaf")).alias("wanted"))
     fetched = docs.join(wanted, "id")
 
@@ -125,11 +125,21 @@ def recurring(docs: DataFrame, depth: int = 2, similarity: float = 0.8, min_docs
 
     grown = held.groupBy("leaf").applyInArrow(templates, "content long, template long").filter("content <> template")
     mapped = checkpoint(grown)
-    named = found.join(mapped, "content", "left").select("id", "line", F.coalesce("template", "content").alias("template"))
-    stats = named.groupBy("template").agg(F.countDistinct("id").alias("docs"), F.min(place).alias("first")).filter(F.col("docs") >= min_docs)
+    # a content that too few documents have recurs only as part of a template of several contents
+    alone = contents.filter(F.col("docs") >= min_docs).select("content", F.col("content").alias("template")).join(mapped, "content", "left_anti")
+    founders = mapped.select(F.col("template").alias("content"), "template").distinct().join(alone, "content", "left_anti")
+    named = found.join(mapped.unionByName(founders).unionByName(alone), "content").select("id", "line", "template")
+    stats = _counted(named, "template").filter(F.col("docs") >= min_docs)
     return named.join(stats, "template").select("id", "line", "template", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))
 
 
+def _counted(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """(key, docs, first, ...): in how many ids each key is, and its first (id, line); one shuffle, by key."""
+    before = F.lag("id").over(Window.partitionBy(key).orderBy("id", "line"))
+    marked = rows.withColumn("fresh", F.when(before == F.col("id"), 0).otherwise(1))
+    return marked.groupBy(key).agg(F.sum("fresh").alias("docs"), F.min(F.struct("id", "line")).alias("first"), *more)
+
+
 def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str, count_col: str | None = None) -> DataFrame:
     """docs with the lines (id, line) cut from their texts; other rows and columns as they were."""
     by = dropped.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("line")).alias("__cut"))
