@@ -78,7 +78,9 @@ def fingerprints(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return keyed.mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, bands: int = 32, rows: int = 4) -> DataFrame:
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, bands: int = 32, rows: int = 4, broadcast_rows: int = 2_000_000
+) -> DataFrame:
     """Pairs (doc_a, doc_b, jaccard) with doc_a < doc_b and jaccard >= threshold, rounded to 6 digits.
 
     The similarity is that of the sets of word n-grams (a text of fewer words is one shingle),
@@ -86,6 +88,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each other member makes one pair with it (1.0), and classes are compared through these ids, so
     the result grows with the corpus and not with the square of a class.  Candidates
     share a band; a pair of similarity s is found with probability 1 - (1 - s**rows)**bands.
+    Up to `broadcast_rows` candidates (32 MB) are broadcast to find their texts; beyond, texts are shuffled by id.
     Null ids, null texts and texts without words are in no pair.  Repeated rows count once; an id
     with several texts is compared by each, never with itself, and has its highest value.  Other columns are ignored.
     """
@@ -100,7 +103,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = checkpoint(shared.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
     parts = components(pairs)
     members = checkpoint(parts)
-    sets = base.join(members.select(F.col("node").alias("id"), "root"), "id")
+    some = members.select(F.col("node").alias("id"), "root")
+    sets = base.join(F.broadcast(some) if members.count() <= broadcast_rows else some, "id")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
