@@ -82,7 +82,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 22, min_features: int = 8, tiles: int = 48) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 22, min_features: int = 8, tiles: int = 24) -> DataFrame:
     """(doc_id, duplicate_of): each document that another of its group stands for; the group's smallest id stays.
 
     A group is a connected component of documents whose fingerprints, over their distinct words
@@ -116,7 +116,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     todo = spark.createDataFrame(pairs or [("", "")], "t1 string, t2 string")
     todo = todo.join(packed.select(F.col("tile").alias("t1"), F.col("held").alias("h1")), "t1")
     todo = todo.join(packed.select(F.col("tile").alias("t2"), F.col("held").alias("h2")), "t2")
-    todo = todo.repartition(max(1, min(len(pairs), 4096)), "t1", "t2")
+    todo = todo.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "t1", "t2")
 
     def compare(table: pa.Table) -> pa.Table:
         found = []
