@@ -208,7 +208,7 @@ _KEYWORDS = ("fn ", "pub ", "def ", "class ", "func ", "fun ", "function ", "str
 
 def signature_and_documentation(docs: Column) -> Column:
     """Of several texts the first is the signature; a single one is, if it begins like a declaration."""
-    one = F.exists(F.array(*map(F.lit, _KEYWORDS)), lambda k: F.startswith(F.ltrim(docs[0]), k))
+    one = F.exists(F.array(*map(F.lit, _KEYWORDS)), lambda k: F.startswith(F.ltrim(F.get(docs, 0)), k))
     none = F.lit(None).cast("string")
     rest = F.nullif(F.array_join(F.slice(docs, F.lit(2), F.greatest(F.size(docs) - 1, F.lit(1))), "\n\n"), F.lit(""))
     return (
@@ -221,7 +221,7 @@ def signature_and_documentation(docs: Column) -> Column:
 
 def container_of(symbol: Column) -> Column:
     """The last name in the descriptor of an enclosing symbol; null for none."""
-    last = F.regexp_extract(F.split(symbol, " ", 5)[4], r"([^/#.:()`\[\]]+)[/#.:()`\[\]]*$", 1)
+    last = F.regexp_extract(F.get(F.split(symbol, " ", 5), 4), r"([^/#.:()`\[\]]+)[/#.:()`\[\]]*$", 1)
     return F.nullif(last, F.lit(""))
 
 
