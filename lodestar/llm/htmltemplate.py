@@ -46,25 +46,27 @@ def tokens(col: pa.Array) -> tuple[textkit.Words, np.ndarray]:
     if len(opens) > 1:  # a tag begins only after the one before it has ended
         fresh = np.concatenate([[True], opens[1:] > np.maximum.accumulate(until)[:-1]])
         opens, until = opens[fresh], until[fresh]
-    depth = np.zeros(n + 1, np.int32)
-    np.add.at(depth, opens, 1)
-    np.add.at(depth, until + 1, -1)
-    within = np.cumsum(depth[:-1]) > 0
+    begins = np.zeros(n, bool)
+    begins[opens] = True
+    depth = np.zeros(n + 1, np.int8)
+    depth[opens] = 1
+    depth[until + 1] -= 1
+    within = np.cumsum(depth[:-1], dtype=np.int8) > 0
     space = textkit._IS_SPACE[raw]
     # inside a tag, only its name is kept: up to the first space, or slash after the first letter
-    stop = space | ((raw == 47) & ~np.isin(np.arange(n) - 1, opens)) | (raw == 62)
-    blocked = np.cumsum(stop & within)
-    at_open = blocked[opens]
-    own = np.searchsorted(opens, np.arange(n), side="right") - 1
-    name = within & (own >= 0) & (blocked == at_open[np.maximum(own, 0)] if len(opens) else False)
+    slash = raw == 47
+    slash[1:] &= ~begins[:-1]
+    blocked = np.cumsum((space | slash | (raw == 62)) & within, dtype=np.int32)
+    name = within
+    if len(opens):
+        own = np.cumsum(begins, dtype=np.int32) - 1
+        name = within & (blocked == blocked[opens][np.maximum(own, 0)])
     inside = np.where(within, name, ~space)
-    begins = np.zeros(n, bool)
-    begins[opens] = True
     after = np.zeros(n, bool)
     past = until + 1
     after[past[past < n]] = True
     w = textkit.runs(raw, offsets, inside, begins | after)
-    return w, raw[w.start] == 60 if len(w.start) else np.zeros(0, bool)
+    return w, begins[w.start]
 
 
 def host(url: str = "url") -> F.Column:
@@ -153,13 +155,18 @@ def _nested(outer: np.ndarray, inner: np.ndarray) -> bool:
     return bool((np.searchsorted(flat, inner[:, 0]) == np.searchsorted(flat, inner[:, -1])).all())
 
 
-def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: int) -> DataFrame:
+def _small(df: DataFrame, weight: str, limit: int) -> DataFrame:
+    """Broadcast if what it weighs is checked to be within the limit; else it is left to be joined by a shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(weight))).first()[0] or 0) <= limit else df
+
+
+def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: int, limit: int) -> DataFrame:
     """(host, template): the tokens of each host's valid classes."""
-    spark = pages.sparkSession
     counts = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    known = pages.join(counts, "host")
-    some = frequent(known.select("host", "html"), share).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("some"))
-    held = checkpoint(sequences(known.join(some, "host").select("host", "page_id", "row", "html", "some")))
+    counts = checkpoint(counts)
+    known = pages.join(_small(counts, "1", limit), "host")
+    some = checkpoint(frequent(known.select("host", "html"), share).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("some")))
+    held = checkpoint(sequences(known.join(_small(some, "size(some)", limit), "host").select("host", "page_id", "row", "html", "some")))
     each = held.select("host", "row", F.explode("held").alias("token")).groupBy("host", "row", "token").agg(F.count("*").alias("times"))
     # equal sums over the pages: equal occurrence vectors
     vector = each.groupBy("host", "token").agg(
@@ -169,7 +176,7 @@ def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: in
     groups = vector.groupBy("host", "support", "v1", "v2").agg(F.sort_array(F.collect_list("token")).alias("tokens")).filter(F.size("tokens") >= least_tokens)
     groups = groups.withColumn("class", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("support"), F.desc(F.size("tokens")), "tokens")))
     groups = checkpoint(groups.select("host", "class", "support", "tokens"))
-    lists = groups.groupBy("host").agg(F.collect_list(F.struct("class", "tokens")).alias("classes"))
+    lists = _small(checkpoint(groups.groupBy("host").agg(F.collect_list(F.struct("class", "tokens")).alias("classes"))), "aggregate(classes, 0, (s, c) -> s + size(c.tokens))", limit)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int, int, int]] = set()
@@ -191,7 +198,7 @@ def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: in
     return valid.select("host", F.explode("tokens").alias("token")).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("template"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, least_pages: int = 3, least_tokens: int = 3) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, least_pages: int = 3, least_tokens: int = 3, limit: int = 2_000_000) -> DataFrame:
     """(page_id, slot, text): the text of each slot of each page that has any, slots numbered from 0 in their order.
 
     Pages of one host (of its URL, lower case; '' without one) share a template.  A class is a set of at least
@@ -199,11 +206,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     repeat one order on every page, and of two valid classes that cross on a page, the one of less support (then of fewer
     tokens) goes.  Slots are what lies between template tokens: its words, without tags, entities resolved, joined
     by a space.  Comments, scripts and styles are left out.  A page of a host with fewer pages has no template: it is one slot.
+    Up to `limit` hosts, or tokens of all hosts together, are broadcast to the pages; beyond, pages are shuffled by host.
     Null or empty html has no slots.  Null ids stay null; repeated rows count as pages of their own and are repeated.  Other columns are ignored.
     """
     base = picked(pages, page_id=id_col, url=url_col, html=html_col).filter("html is not null").withColumn("page_id", F.col("page_id").cast("long"))
     base = base.select("page_id", host().alias("host"), "html", F.xxhash64("page_id", "url", "html").alias("row"))
-    known = checkpoint(templates(base, share, least_pages, least_tokens))
+    known = _small(checkpoint(templates(base, share, least_pages, least_tokens, limit)), "size(template)", limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
