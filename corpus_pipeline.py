@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, linededup, packing, quality, simhash
-from lodestar.llm.common import fresh_dir
+from lodestar.llm.common import free_name, fresh_dir
 
 #: Documents that must share a line's template.
 RECURRING = 10
@@ -18,8 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without these doc_ids; rows with a null id stay."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("`doc_id`").cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    return docs.join(ids.select(F.col("doc_id").alias(name)).distinct(), F.col("`doc_id`").cast("long") == F.col(name), "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Lines recur from RECURRING documents on: smaller groups of copies are left whole for the next stage to choose from.
     """
-    cut = linededup.without_lines(docs, linededup.dropped_lines(docs, min_docs=RECURRING), "doc_id", "text", "__cut_lines")
-    left = cut.filter((F.col("__cut_lines") == 0) | F.col("text").rlike(r"\S"))
-    length = F.when(F.col("__cut_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    count = free_name(docs, "lines_dropped")
+    cut = linededup.without_lines(docs, linededup.dropped_lines(docs, min_docs=RECURRING), "doc_id", "text", count)
+    left = cut.filter((F.col(count) == 0) | F.col("text").rlike(r"\S"))
+    length = F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", length).select(*docs.columns)
 
 

@@ -77,6 +77,14 @@ def picked(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in names.items()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes for df not to have such a column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def content_key(text: Column) -> list[Column]:
     """128 bits of a text, as two longs; collisions are negligible below 10**15 texts."""
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm import textkit
-from lodestar.llm.common import checkpoint, column, picked, slices
+from lodestar.llm.common import checkpoint, column, free_name, picked, slices
 
 ANY = np.uint64(0)
 
@@ -142,14 +142,15 @@ def _counted(rows: DataFrame, key: str, *more: Column) -> DataFrame:
 
 def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str, count_col: str | None = None) -> DataFrame:
     """docs with the lines (id, line) cut from their texts; other rows and columns as they were."""
-    by = dropped.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("line")).alias("__cut"))
-    joined = docs.join(by, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
+    own, gone = free_name(docs, "id"), free_name(docs, "gone")
+    by = dropped.groupBy(F.col("id").alias(own)).agg(F.array_sort(F.collect_set("line")).alias(gone))
+    joined = docs.join(by, F.col(f"`{id_col}`").cast("long") == F.col(own), "left")
     parts = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__cut", i.cast("long"))), "\n")
-    text = F.when(F.col("__cut").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
+    text = F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if count_col:
-        out.append(F.coalesce(F.size("__cut"), F.lit(0)).alias(count_col))
+        out.append(F.coalesce(F.size(gone), F.lit(0)).alias(count_col))
     return joined.select(*out)
 
 
