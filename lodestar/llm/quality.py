@@ -71,6 +71,17 @@ def read_lines(col: pa.Array) -> Lines:
     return Lines(np.searchsorted(doc, np.arange(texts + 1)), size, dense, word, (w.hash >> np.uint64(48)).astype(np.int64))
 
 
+def read_all_lines(col: pa.Array) -> Lines:
+    """read_lines of a column of any size, read piece by piece to bound the memory."""
+    parts = [read_lines(column(b, "text")) for b in slices(pa.RecordBatch.from_arrays([col], names=["text"]), "text")] or [read_lines(col)]
+    first, word = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    for p in parts:
+        first.append(p.first[1:] + first[-1][-1])
+        word.append(p.word[1:] + word[-1][-1])
+    size, dense, buckets = (np.concatenate([getattr(p, name) for p in parts]) for name in ("size", "dense", "buckets"))
+    return Lines(np.concatenate(first), size, dense, np.concatenate(word), buckets)
+
+
 @dataclass
 class Model:
     """dense, words: weights of a good line's score; steps: log weights of [bad, good] -> [bad, good]; a document from `threshold` on is kept."""
@@ -131,7 +142,7 @@ def fit(texts: pa.Array, good: np.ndarray, epochs: int = 120, rate: float = 0.3,
     Word buckets seen in fewer than least_docs texts have no weight, and `sparsity` is the L1 penalty on the others.  The threshold is the one that best separates
     the texts among those that keep at least the share `keep` of the good ones.
     """
-    x = read_lines(texts)
+    x = read_all_lines(texts)
     doc = np.repeat(np.arange(len(x.first) - 1), np.diff(x.first))
     y = good[doc].astype(float)
     mean, spread = x.dense.mean(axis=0), x.dense.std(axis=0)
