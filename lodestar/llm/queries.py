@@ -55,4 +55,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_pii, op3_token_counts, op4_simhash, op5_repeats, op6_quality, op7_decontaminate, op8_html, op9_line_dedup, op10_minhash)
 }
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: (doc_id, w): the words of each text, ASCII letters folded.
+_WORDS = f"""SELECT doc_id, text, list_filter(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[ \\t\\n\\r\\v\\f]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"""
+
+ORACLE: dict[str, str] = {
+    # every window of 50 words that occurs more than once, and the runs of words that such windows cover
+    "op5_repeats": f"""
+WITH docs AS ({_WORDS}),
+windows AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS pos, w FROM docs WHERE len(w) >= 50),
+keyed AS (SELECT doc_id, pos, md5(array_to_string(w[pos + 1 : pos + 50], ' ')) AS key FROM windows),
+marked AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM keyed) WHERE n > 1),
+steps AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS fresh FROM marked),
+runs AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM steps)
+SELECT doc_id, min(pos) AS start, max(pos) + 50 AS stop FROM runs GROUP BY doc_id, run""",
+    # exact Jaccard of all classes of equal texts that share a shingle; members of a class with its smallest id
+    "op10_minhash": f"""
+WITH docs AS ({_WORDS}),
+classes AS (SELECT min(doc_id) AS rep, any_value(w) AS w, text FROM docs WHERE len(w) > 0 GROUP BY text),
+shingles AS (SELECT DISTINCT rep, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g FROM classes),
+sizes AS (SELECT rep, count(*) AS n FROM shingles GROUP BY rep),
+shared AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+pairs AS (SELECT doc_a, doc_b, s.n / CAST(x.n + y.n - s.n AS DOUBLE) AS j FROM shared s JOIN sizes x ON x.rep = doc_a JOIN sizes y ON y.rep = doc_b)
+SELECT doc_a, doc_b, round(j, 6) AS jaccard FROM pairs WHERE j >= 0.5
+UNION ALL SELECT c.rep, d.doc_id, 1.0 FROM docs d JOIN classes c ON c.text = d.text WHERE d.doc_id <> c.rep""",
+}
