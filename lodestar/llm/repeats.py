@@ -62,9 +62,13 @@ def span_hash(hashes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     """Hash of the words left to right - 1, wherever they stand."""
     with np.errstate(over="ignore"):
         n = len(hashes)
-        power = textkit.powers(n + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:n], dtype=np.uint64)])
-        return textkit.mix((total[right] - total[left]) * power[n - left] + (right - left).astype(np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * textkit.powers(n)[:n], dtype=np.uint64)])
+        return textkit.mix((total[right] - total[left]) * textkit.inverse_powers(n + 1)[left] + (right - left).astype(np.uint64))
+
+
+def passage_hash(hashes: np.ndarray, left: np.ndarray, at: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of the words left to right - 1 and of the place of the anchor among them."""
+    return span_hash(hashes, left, right) ^ textkit.mix((at - left).astype(np.uint64))
 
 
 def rank_suffixes(x: np.ndarray, stop: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -125,14 +129,21 @@ def corpus_order(text: np.ndarray, piece: np.ndarray, trigger: int = 2, modulus:
     return np.lexsort((after, rest))
 
 
-def repeated_starts(text: np.ndarray, piece: np.ndarray, least: int) -> np.ndarray:
-    """Positions whose next `least` words, within their piece, also begin elsewhere: neighbours in the corpus order that share them."""
+def repeated_starts(text: np.ndarray, piece: np.ndarray, least: int, place: np.ndarray) -> np.ndarray:
+    """Positions whose next `least` words, within their piece, also begin elsewhere at an equal `place`.
+
+    Suffixes that share the words are neighbours in the corpus order.  A place is an anchor and the distance from it, which keeps
+    apart two pieces that overlap in their text: they hold the same words, but not at one distance from one anchor.
+    """
     order = corpus_order(text, piece)
     own = np.repeat(np.arange(len(piece) - 1), np.diff(piece))
     full = np.arange(len(text)) + least <= piece[1:][own]
     order = order[full[order]]  # suffixes of fewer words share too little with any
     ahead = span_hash(text.astype(np.uint64), order, order + least)
-    same = ahead[1:] == ahead[:-1]
+    group = np.cumsum(np.concatenate([[False], ahead[1:] != ahead[:-1]])[: len(order)])
+    by = np.lexsort((place[order], group))
+    order, group = order[by], group[by]
+    same = (group[1:] == group[:-1]) & (place[order[1:]] == place[order[:-1]])
     found = np.zeros(len(text), bool)
     found[order[1:][same]] = True
     found[order[:-1][same]] = True
@@ -144,7 +155,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words are runs of other than ASCII white space, ASCII case folded, numbered from 0.  Both the first and the later
     occurrences are given, in other documents or the same one.  Null ids, null texts, and texts of fewer than `least` words give no rows.
-    Repeated rows count once: an equal (id, text) is one document.  An id with several texts has the runs of each, merged by position.
+    Repeated rows count once, as do equal passages at one place in several texts of an id; such an id has the runs of each text, merged by position.
     Other columns are ignored; an empty table gives no rows.  `shard_words` bounds what one suffix array is built of, but
     for a single anchor's distinct passages.
     """
@@ -157,7 +168,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 w = textkit.words(column(batch, "text"))
                 at, name = anchors(w, least)
                 left, right = bounds(w, at, least)
-                passage = span_hash(w.hash, left, right) if len(at) else name
+                passage = passage_hash(w.hash, left, at, right) if len(at) else name
                 own = np.searchsorted(w.first, at, side="right") - 1
                 where = (at - w.first[own]).astype(np.int32)
                 sizes = [pa.array((at - left).astype(np.int32)), pa.array((right - at).astype(np.int32))]
@@ -187,7 +198,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 at = w.first[own] + at
                 # an id may have several texts: only where the passage is there
                 there = at + after <= w.first[own + 1]
-                there[there] = span_hash(w.hash, (at - before)[there], (at + after)[there]).view(np.int64) == passage[there]
+                there[there] = passage_hash(w.hash, (at - before)[there], at[there], (at + after)[there]).view(np.int64) == passage[there]
                 name, passage, at, before, after = name[there], passage[there], at[there], before[there], after[there]
                 short = (w.hash >> np.uint64(32)).astype(np.uint32)
                 held = [short[a:b].tobytes() for a, b in zip(at - before, at + after, strict=True)]
@@ -202,7 +213,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         keep = np.sort(np.unique(np.stack([anchor, passage]), axis=1, return_index=True)[1])  # one of each
         parts = [text[piece[i] : piece[i + 1]] for i in keep]
         text, piece = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        starts = repeated_starts(text, piece, least)
+        ahead = table.column("before").to_numpy()[keep]
+        group = np.unique(anchor[keep], return_inverse=True)[1]
+        size = np.diff(piece)
+        place = np.arange(len(text)) - np.repeat(piece[:-1] + ahead, size) + np.repeat(group, size) * (4 * least)
+        starts = repeated_starts(text, piece, least, place)
         at = np.flatnonzero(starts)
         own = np.searchsorted(piece, at, side="right") - 1
         new = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(at, prepend=-9) > least))

@@ -26,7 +26,8 @@ _IS_ALNUM = np.zeros(256, dtype=bool)
 _IS_ALNUM[128:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _IS_ALNUM[_c] = True
-_POWERS = np.ones(1, dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_TABLES: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,15 +41,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    """1, b, b**2, ... modulo 2**64, at least n of them."""
-    global _POWERS
-    if len(_POWERS) < n:
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    held = _TABLES.get(int(base))
+    if held is None or len(held) < n:
         with np.errstate(over="ignore"):
-            out = np.full(max(n, 1 << 16), _BASE, dtype=np.uint64)
+            out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
             out[0] = 1
-            _POWERS = np.multiply.accumulate(out)
-    return _POWERS
+            held = _TABLES[int(base)] = np.multiply.accumulate(out)
+    return held
+
+
+def powers(n: int) -> np.ndarray:
+    """1, b, b**2, ... modulo 2**64, at least n of them."""
+    return _powers(_BASE, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """1, 1/b, 1/b**2, ... modulo 2**64, at least n of them."""
+    return _powers(_INVERSE, n)
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
