@@ -82,14 +82,16 @@ def contaminated(
     item_text_col: str = "text",
     n: int = 3,
     threshold: float = 0.4,
-    common_share: float = 0.001,
+    common_share: float = 0.01,
+    rare_docs: int = 100,
     least_seeds: int = 12,
     part_bytes: int = 16 << 20,
 ) -> DataFrame:
     """(doc_id, item_id, score) of each document in which a benchmark item is found, exact, edited or paraphrased.
 
     Words are runs of letters and digits, ASCII case folded.  Seeds are an item's word n-grams that at most
-    `common_share` of all documents hold, counted over the whole corpus, and in any case its `least_seeds` rarest.
+    `common_share` of all documents, or `rare_docs` if that is more, hold, counted over the whole corpus, and in any case its `least_seeds`
+    rarest of those that occur.
     Around every seed hit the passage is aligned with the item by words (match 2, mismatch and gap -1); score is the
     best local alignment as a share of the item's own, kept from `threshold` on and rounded to 6 digits.
     Items of fewer than n words have no seed and are not found.  Null ids and texts on either side are left out.
@@ -131,9 +133,9 @@ def contaminated(
         seeds: list[tuple[int, int]] = []  # (seed, item)
         for i in range(len(ids)):
             own = np.unique(where[w.first[i] : w.first[i + 1]])
-            own = own[own >= 0]
+            own = own[(own >= 0) & (counted[own] > 0)]  # what no document holds finds none
             own = own[np.lexsort((own, counted[own]))]
-            rare = counted[own] <= common_share * total
+            rare = counted[own] <= max(rare_docs, common_share * total)
             rare[:least_seeds] = True
             seeds += [(int(s), i) for s in own[rare]]
         if not seeds:
