@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,14 +102,23 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it: Catalyst would repeat the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; null for other sizes or a zero norm."""
-    size = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
+
+    def of(p: Column) -> Column:
+        return let(norm(p["a"]) * norm(p["b"]), lambda size: F.when((F.size(p["a"]) == F.size(p["b"])) & (size > 0), dot(p["a"], p["b"]) / size))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def normalise(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    """The vector in double precision divided by its norm; null for a norm of 0."""
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))))
 
 
 def sha256(text: Column) -> Column:

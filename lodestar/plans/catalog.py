@@ -151,10 +151,11 @@ def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.stale_files(workspace(spark, sf_dir), _client(spark, sf_dir))
 
 
-@query(CLIENT + f"""SELECT c.uri, f.uri IS NOT NULL AS indexed, e.model IS NOT NULL AS has_embedding, CASE WHEN f.indexed_at_ms <= {AS_OF_MS} THEN CAST(floor(({AS_OF_MS} - f.indexed_at_ms) / 1000) AS BIGINT) END AS age_seconds, e.model AS embedding_model
+@query(CLIENT + f"""SELECT c.uri, f.uri IS NOT NULL AS indexed, e.model IS NOT NULL AS has_embedding, CASE WHEN f.indexed_at_ms <= {AS_OF_MS} THEN CAST(({AS_OF_MS} - f.indexed_at_ms) // 1000 AS DOUBLE) END AS age_seconds, e.model AS embedding_model
 FROM client c LEFT JOIN files f USING (uri) LEFT JOIN (SELECT uri, model FROM embeddings_ WHERE scope = 'file') e ON e.uri = c.uri""")
 def batch_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.file_status(workspace(spark, sf_dir), _client(spark, sf_dir).select("uri"))
+    status = L.file_status(workspace(spark, sf_dir), _client(spark, sf_dir).select("uri"))
+    return status.withColumn("age_seconds", F.col("age_seconds").cast("double"))  # has nulls
 
 
 @query("""SELECT (SELECT count(*) FROM files) AS indexed_files, (SELECT CAST(count(*) AS BIGINT) FROM files WHERE uri NOT IN (SELECT uri FROM embeddings_ WHERE scope = 'file')) AS pending_embedding_files, (SELECT max(indexed_at_ms) FROM files) AS last_updated_ms,
