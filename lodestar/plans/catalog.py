@@ -701,3 +701,83 @@ def lifecycle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = workspace(spark, sf_dir).symbols
     return s.select("uri", F.col("confidence_score").alias("old_confidence"), (60 + (F.col("confidence_score") - 40) % 30).alias("new_confidence")).filter("new_confidence > old_confidence")
+
+
+# scalar functions, over the columns they are for
+
+
+@query("SELECT uri, 'rust' AS by_extension, CASE WHEN id % 2 = 0 THEN 'go' ELSE 'rust' END AS by_hint, substr(uri, 8) AS path, 'lip://local/' || substr(uri, 8) || '#main' AS symbol, contains(lower(uri), 'tests.rs') AS is_test FROM files")
+def uri_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, uri = workspace(spark, sf_dir).files, F.col("uri")
+    hint = F.when(F.col("id") % 2 == 0, "Go").otherwise("none such")
+    symbol = F.concat(F.lit("lip://local/"), S.strip_file_scheme(uri), F.lit("#main"))
+    return f.select("uri", S.detect_language(uri).alias("by_extension"), S.detect_language(uri, hint).alias("by_hint"), S.uri_to_path(uri).alias("path"), symbol.alias("symbol"), S.is_test_file(uri).alias("is_test"))
+
+
+@query("""SELECT uri, 'local' AS scope, regexp_extract(uri, '#(.*)$', 1) AS descriptor, split_part(regexp_extract(uri, '#(.*)$', 1), '(', 1) AS name, 'rust-analyzer cargo ' || replace(display_name, ' ', '-') || ' 1.' || id || ' lib.rs#f().' AS scip,
+ 'lip://rust-analyzer/cargo/' || replace(display_name, ' ', '-') || '@1.' || id || '/lib.rs#f().' AS scip_uri, 'f' AS container FROM symbols""")
+def symbol_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.sources import scip
+
+    s = workspace(spark, sf_dir).symbols
+    raw = F.concat(F.lit("rust-analyzer cargo "), F.replace("display_name", F.lit(" "), F.lit("-")), F.lit(" 1."), "id", F.lit(" lib.rs#f()."))
+    to_uri = scip.symbol_to_uri(raw)
+    return s.select("uri", S.uri_part(F.col("uri"), "scope").alias("scope"), S.uri_part(F.col("uri"), "descriptor").alias("descriptor"), S.callee_name(F.col("uri")).alias("name"), scip.uri_to_symbol(to_uri).alias("scip"), to_uri.alias("scip_uri"), scip.container_of(raw).alias("container"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity::INT & 1 > 0 THEN 'definition' WHEN l_quantity::INT & 4 > 0 THEN 'write_access' WHEN l_quantity::INT & 8 > 0 THEN 'read_access' ELSE 'reference' END AS role,
+ CASE WHEN l_quantity::INT & 4 > 0 THEN 'write' WHEN l_quantity::INT & 8 > 0 THEN 'read' ELSE 'unknown' END AS kind, l_quantity::INT & 32 > 0 AS is_test, l_linenumber AS end_line, l_linenumber + 3 AS end_char FROM lineitem""")
+def occurrence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.sources import scip
+
+    bits, at = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
+    r = scip.range_of(F.array(at, at, at + 3))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", scip.role_of(bits).alias("role"), scip.reference_kind_of(bits).alias("kind"), scip.is_test(bits).alias("is_test"), r["end_line"].alias("end_line"), r["end_char"].alias("end_char")
+    )
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 < o_custkey % 3 + 1 AS inside FROM orders")
+def scip_path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    path = F.concat(F.repeat(F.lit("a/"), (F.col("o_custkey") % 3).cast("int")), F.repeat(F.lit("../"), (F.col("o_orderkey") % 3).cast("int")), F.lit("f.rs"))
+    return o.select("o_orderkey", S.path_stays_inside(path).alias("inside"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Rust source for every file: a function for each of its symbols, which calls what the symbol calls."""
+    ws = workspace(spark, sf_dir)
+    calls = ws.edges.groupBy(F.col("from_uri").alias("uri")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(S.extract_name(F.col("to_uri")), F.lit("();")))), " ").alias("body"))
+    rows = ws.symbols.join(calls, "uri", "left")
+    text = F.concat(F.when(F.col("is_exported"), "pub ").otherwise(""), F.lit("fn "), S.extract_name(F.col("uri")), F.lit("(size: i32) { "), F.coalesce("body", F.lit("")), F.lit(" }"))
+    return rows.groupBy(F.col("file_uri").alias("uri")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", text.alias("t")))), lambda x: x["t"]), "\n").alias("text"), F.lit("rust").alias("language"))
+
+
+@query("SELECT file_uri, uri, regexp_extract(uri, '#(.*)$', 1) AS display_name, 'function' AS kind, is_exported, CASE WHEN is_exported THEN 'public' ELSE 'private' END AS visibility FROM symbols")
+def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.sources import extract
+
+    return extract.relation(extract.index_files(_sources(spark, sf_dir)), "symbols").select("file_uri", "uri", "display_name", "kind", "is_exported", "visibility")
+
+
+@query("SELECT e.file_uri, e.from_uri, 'lip://local/' || substr(e.file_uri, 8) || '#' || regexp_extract(e.to_uri, '#(.*)$', 1) AS to_uri FROM edges e")
+def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.sources import extract
+
+    return extract.relation(extract.index_files(_sources(spark, sf_dir)), "edges").select("file_uri", "from_uri", "to_uri")
+
+
+@query("""SELECT file_uri, uri AS symbol_uri, 'definition' AS role, 'unknown' AS kind FROM symbols UNION ALL
+ SELECT e.file_uri, 'lip://local/' || substr(e.file_uri, 8) || '#' || regexp_extract(e.to_uri, '#(.*)$', 1), 'reference', 'call' FROM edges e""")
+def extract_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.sources import extract
+
+    found = extract.relation(extract.index_files(_sources(spark, sf_dir)), "occurrences").select("file_uri", "symbol_uri", "role", "kind")
+    return found.filter(~F.col("symbol_uri").endswith("#size") & ~F.col("symbol_uri").endswith("#i32"))  # the parameter and its type
+
+
+@query("SELECT uri, 'fn ' || replace(display_name, ' ', '_') || '(_: i32) -> Brand#' || regexp_extract(signature, '#([0-9]+)$', 1) AS signature_normalized FROM symbols")
+def normalize_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.sources import extract
+
+    return extract.enrich(workspace(spark, sf_dir).symbols).select("uri", "signature_normalized")

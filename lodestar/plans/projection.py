@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.workspace import Workspace
 
+ROOT = str(Path(__file__).resolve().parents[2])
 AS_OF_MS = 1_704_400_000_000
 
 #: Common table expressions that give DuckDB the relations of `workspace`.
@@ -62,6 +66,9 @@ slice_symbols AS (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    env = spark.sparkContext.environment  # workers on this file system find the package, wherever the driver was started
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
