@@ -84,8 +84,11 @@ def grow(tokens: list[np.ndarray], similarity: float) -> list[int]:
     return out
 
 
-def recurring(docs: DataFrame, depth: int = 2, similarity: float = 0.8, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
-    """(id, line, template, first_id, first_line) of each line whose template at least min_docs documents hold; docs has id and text."""
+def recurring(docs: DataFrame, depth: int = 2, similarity: float = 0.8, min_docs: int = 3, min_tokens: int = 3, broadcast_lines: int = 1_000_000) -> DataFrame:
+    """(id, line, template, first_id, first_line) of each line whose template at least min_docs documents hold; docs has id and text.
+
+    Up to `broadcast_lines` lines of open leaves (one per distinct content) are broadcast to fetch them; beyond, texts are shuffled by id.
+    """
     found = checkpoint(lines(docs, depth, min_tokens))
     contents = _counted(found, "content", F.first("leaf").alias("leaf"))
     contents = checkpoint(contents)
@@ -93,7 +96,9 @@ def recurring(docs: DataFrame, depth: int = 2, similarity: float = 0.8, min_docs
     leaves = contents.groupBy("leaf").agg(F.count("*").alias("many"), F.sum("docs").alias("docs")).filter(f"many > 1 and docs >= {int(min_docs)}")
     open_ = contents.join(leaves.select("leaf"), "leaf", "left_semi").select("content", "leaf", "first.id", "first.line")
     wanted = open_.groupBy("id").agg(F.collect_list(F.struct("line", "content", "leaf")).alias("wanted"))
-    fetched = docs.join(wanted, "id")
+    wanted = checkpoint(wanted)
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= broadcast_lines
+    fetched = docs.join(F.broadcast(wanted) if few else wanted, "id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -245,6 +245,8 @@ def test_dedup_lines_of_odd_rows(spark):
     assert got[20] == (rows[len(ODD)][1].rsplit("\n", 1)[0], 1)
     assert got[21] == (prose(901, 6), 3) and got[33] == ("", 1) and got[1] == (None, 0) and got[31][1] == 0
     assert linededup.dedup_lines(docs(spark, rows).limit(0)).count() == 0
+    beyond = linededup.dropped_lines(docs(spark, rows), broadcast_lines=0)
+    assert {(r["id"], r["line"]) for r in beyond.collect()} == plain_lines(rows)
 
 
 # packing
