@@ -124,16 +124,16 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(local, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node of its component.
 
     Local contraction, then alternating large-star and small-star steps, each written
     to the shared folder.  Nulls must not occur; loops are ignored, no edges give no rows.
-    The number of steps grows as the logarithm of the longest path.
+    Steps are taken until none changes anything; their number grows as the logarithm of the longest path.
     """
     work = checkpoint(contract(edges.filter("a <> b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = work.unionAll(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
         large = both.withColumn("m", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -142,7 +142,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         work = checkpoint(small.filter("a <> b").distinct())
-        now = work.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        now = work.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
