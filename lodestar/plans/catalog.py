@@ -591,10 +591,9 @@ def batch_nearest_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.nearest_by_text(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item:"), "item_id").alias("query"), "text"), 3)
 
 
-@query(TEXT_POOL + _top("(SELECT * FROM asked WHERE query = 'item:0')", "pool", 10, cols=""))
+@query(TEXT_POOL + f", one AS (SELECT 'text' AS query, {LETTER_LIST.format(chr(39) + 'where the tested region ends' + chr(39))} AS v) " + _top("one", "pool", 10, cols=""))
 def nearest_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.concat(F.lit("item:"), "item_id").alias("query"), "text")
-    return V.nearest_by_text(_texts(spark, sf_dir), asked, 10)
+    return V.nearest_by_text(_texts(spark, sf_dir), spark.createDataFrame([("text", "where the tested region ends")], "query string, text string"), 10)
 
 
 @query(f"SELECT 'item:' || item_id AS uri, CAST(i - 1 AS INTEGER) AS pos, v[i] AS value FROM (SELECT item_id, {LETTER_LIST.format('text')} AS v FROM benchmark), range(1, 27) t(i)")

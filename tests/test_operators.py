@@ -210,6 +210,18 @@ def test_vectors_of_other_sizes_or_norm_0_are_skipped(spark):
     assert sorted((r["b"], r["similarity"]) for r in V.similarity(pool, pairs).collect() if r["similarity"] is not None) == [("b", 0.0)]
 
 
+def test_matrix_and_join_give_the_same(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(f"u{i:02d}", [rng.choice([-1, 0, 1, 2]) for _ in range(3 if i % 9 else 2)]) for i in range(60)]
+    pool = vecs(spark, rows).union(spark.createDataFrame([("none", None, "m"), ("empty", [], "m")], "uri string, vector array<float>, model string"))
+    queries = pool.select(F.col("uri").alias("query"), "vector")
+    for params in ({}, {"exclude_self": True}, {"min_score": 0.5}, {"exclude_self": True, "pattern": "u[0-3]*"}):
+        monkeypatch.setattr(V, "QUERY_ROWS", 1000)
+        one = sorted(map(tuple, V.top_k(queries, pool, 4, **params).collect()))
+        monkeypatch.setattr(V, "QUERY_ROWS", 0)
+        assert one == sorted(map(tuple, V.top_k(queries, pool, 4, **params).collect())) and len(one) > 50
+
+
 def test_outliers_and_novelty(spark):
     pool = vecs(spark, [("a", [1, 0]), ("b", [1, 0]), ("c", [0, 1])])
     assert {r["uri"]: r["score"] for r in V.outliers(pool).collect()} == {"a": 0.5, "b": 0.5, "c": 0.0}
