@@ -273,6 +273,41 @@ def test_neighbours_are_the_nearest(spark, corpus):
     assert total > 100 and hits >= 0.9 * total
 
 
+def recall(prints, queries):
+    """How many of the queries' six nearest by agreement, ties alike, the graph has, and of how many."""
+    rows = {r["id"]: np.frombuffer(r["sketch"], ">u2") for r in prints.collect()}
+    ids, held = np.array(sorted(rows)), np.stack([rows[i] for i in sorted(rows)])
+    found = collections.defaultdict(dict)
+    for r in packing.graph(prints, 3, 2, 6).collect():
+        found[r["a"]][r["b"]] = found[r["b"]][r["a"]] = r["agree"]
+    hits = total = 0
+    for k in random.Random(1).sample(range(len(ids)), min(queries, len(ids))):
+        agree = (held == held[k]).sum(axis=1)
+        agree[k] = 0
+        best = np.sort(agree[agree >= 2])[::-1][:6]
+        total += len(best)
+        hits += sum(x >= y for x, y in zip(sorted(found[int(ids[k])].values(), reverse=True), best.tolist()))
+    return hits, total
+
+
+def test_neighbours_are_the_nearest_of_a_larger_table(spark):
+    larger = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").selectExpr("doc_id as id", "text")
+    hits, total = recall(packing.sketches(larger, 3), 1500)
+    assert total > 1500 and hits >= 0.99 * total
+
+
+def test_neighbours_are_the_nearest_of_large_families(spark):
+    rows = []
+    for size in (50, 300, 2000):
+        for least, share in ((0, 0.6), (1, 0.1)):
+            text = prose(size + least, 60)
+            rows += [(len(rows) + k, edited(text, share * (k + 1) / size, 7 * size + k)) for k in range(size)]
+    rows += [(10_000 + k, rows[k % 3][1]) for k in range(30)]
+    base = docs(spark, rows).selectExpr("doc_id as id", "text")
+    hits, total = recall(packing.sketches(base, 3), 600)
+    assert total > 1500 and hits >= 0.99 * total
+
+
 def check_pieces(rows, sizes, window):
     at = {}
     for r in rows:
