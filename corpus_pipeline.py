@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Lines recur from RECURRING documents on: smaller groups of copies are left whole for the next stage to choose from.
     """
     count = free_name(docs, "lines_dropped")
-    cut = linededup.without_lines(docs, linededup.dropped_lines(docs, min_docs=RECURRING), "doc_id", "text", count)
+    cut = linededup.without_lines(docs, linededup.dropped_lines(docs, min_docs=RECURRING, min_tokens=1), "doc_id", "text", count)
     left = cut.filter((F.col(count) == 0) | F.col("text").rlike(r"\S"))
     length = F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", length).select(*docs.columns)

@@ -19,10 +19,12 @@ from lodestar.llm import textkit
 from lodestar.llm.common import checkpoint, column, free_name, picked, slices
 
 ANY = np.uint64(0)
+#: Lines of fewer tokens than these that are all variable stand for themselves: no constant token tells one from another.
+BARE = 3
 
 
 def parse(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line with a token: (text, number in its text, where its tokens begin; all tokens' hashes, ANY where they hold a digit)."""
+    """Of each line with a token: (text, number in its text, where its tokens begin; all tokens' hashes, ANY where they hold a digit; see BARE)."""
     w = textkit.words(col)
     hashes = w.hash.copy()
     digit = (w.raw >= 48) & (w.raw <= 57)
@@ -32,7 +34,12 @@ def parse(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     own = np.searchsorted(w.offsets, w.start, side="right") - 1
     line = np.searchsorted(breaks, w.start) - np.searchsorted(breaks, w.offsets[own])
     new = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(line, prepend=-1) != 0))
-    return own[new], line[new], np.append(new, len(w.hash)), hashes
+    first = np.append(new, len(w.hash))
+    count = np.diff(first)
+    constant = np.concatenate([[0], np.cumsum(hashes != ANY)])
+    bare = np.repeat((count < BARE) & (constant[first[1:]] == constant[first[:-1]]), count)
+    hashes[bare] = w.hash[bare]
+    return own[new], line[new], first, hashes
 
 
 def lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -170,7 +177,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at LF.  A template recurs if lines of at least `min_docs` different ids follow it; its line of the smallest
     (id, number) stays, so that of a group of copies one text stays whole.  Tokens are runs of other than ASCII white space,
-    ASCII case folded; a token with an ASCII digit is variable.  Lines of fewer than `min_tokens` tokens are never dropped.
+    ASCII case folded; a token with an ASCII digit is variable, but not in a line of one or two tokens that all have one.
+    Lines of fewer than `min_tokens` tokens are never dropped; the query and the pipeline take lines of all lengths (1).
     Lines join templates of their leaf in the order of their first (id, number), at `similarity` or more agreeing tokens.
     Null ids and null texts stay as they are and count nowhere.  A text all of whose lines go is ''.  Repeated rows stay
     repeated; an id's texts count as one document and lose the same line numbers.  Other columns are ignored.

@@ -44,7 +44,7 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(load(spark, sf_dir, "documents"))
+    return linededup.dedup_lines(load(spark, sf_dir, "documents"), min_tokens=1)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

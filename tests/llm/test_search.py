@@ -9,6 +9,7 @@ import pytest
 from helpers import DATA, ODD, components, docs, edited, prose, table, texts, words
 
 from lodestar.llm import decontaminate, linededup, minhash, packing, repeats, simhash, textkit
+from lodestar.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -235,6 +236,13 @@ def test_dedup_lines_of_the_corpus(spark, corpus):
     assert got == want and want != sorted(rows, key=str)
 
 
+def test_short_lines_that_recur_go(spark, tmp_path):
+    rows = [(20 + k, f"Read more\n{prose(900 + k, 6)}\nHome\n{k}\n42\nPage {k}\n{k} {k}") for k in range(5)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: t if i == 20 else f"{prose(900 + i - 20, 6)}\n{i - 20}\n{i - 20} {i - 20}" for i, t in rows}
+
+
 def test_dedup_lines_of_odd_rows(spark):
     log = lambda k: f"user {k} logged in from 10.0.0.{k} today"
     rows = [*ODD, *[(20 + k, f"{prose(900 + k, 6)}\n{log(k)}\nAll rights reserved.\nAll rights reserved.") for k in range(5)], (30, "All Rights RESERVED.\r\n"), (31, "alpha beta gamma delta one\n"), (32, "alpha beta gamma delta two"), (33, "alpha beta gamma delta three")]
