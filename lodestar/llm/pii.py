@@ -28,20 +28,27 @@ CANDIDATES = re.compile(
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w-]))"
+    r"|(?P<card>(?<![\d.+-])(?!00)\d(?:[ -]?\d){12,18}(?![\d-]))"
+    r"|(?P<phone>(?<![\w+.,-])(?:\(?\+)?\(?\d(?:[ ./()-]{0,3}\d){6,14}(?![\w-]|[.,]\d))"
 )
+_CAPITAL = "".join(c for c in map(chr, range(0x530)) if c.isupper())
+_SURNAME = rf"[{_CAPITAL}](?:[^\W\d_]|['’-](?=[{_CAPITAL}]))+"
 #: Strict patterns: what a kind looks like.
 STRICT = {
     "email": re.compile(r"[A-Za-z0-9À-￿_][\w.+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"),
-    "phone": re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3}[ .-]\d{3,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"),
+    "phone": re.compile(
+        r"\(?\+\d(?:[ ./()-]{0,3}\d){6,14}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+        r"|\(0\d{1,5}\)[ ./-]{0,3}\d{2,9}(?:[ ./-]\d{2,9}){0,4}|0\d(?:[ .-]\d{2}){4}|0\d{2,5}[ /-]\d{3,9}(?:[ -]\d{2,4}){0,3}"
+    ),
     "ip": re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"),
     "card": re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}"),
     "secret": re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA)[_-]?[0-9A-Za-z]{16,64}"),
     "ssn": re.compile(r"\d{3}-\d{2}-\d{4}"),
     "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9 ]+"),
-    "person": re.compile(r"[A-Z][a-z]+ [A-Z][a-z]+"),
+    "person": re.compile(rf"[{_CAPITAL}][^\W\d_]+ {_SURNAME}"),
 }
+#: What a kind may look like, but other numbers do as well: no vote.
+VAGUE = {"phone": re.compile(r"\d{9,11}|[6-9]\d{2}(?: \d{3}){2}|[6-9]\d{2}(?: \d{2}){3}")}
 CONTEXT = {
     "email": re.compile(r"(?:e-?mail|mailto|contact|write to|reach)\W{0,12}\w{0,12}\W{0,4}\Z", re.I),
     "phone": re.compile(r"(?:phone|tel|mobile|call|fax|cell|dial|reach)\W{0,12}\w{0,12}\W{0,4}\Z", re.I),
@@ -88,7 +95,9 @@ def checksum(kind: str, span: str) -> int:
         a, b, c = span.split("-")
         return -1 if a in ("000", "666") or a[0] == "9" or b == "00" or c == "0000" else 1
     if kind == "phone":
-        return 1 if 8 <= sum(c.isdigit() for c in span) <= 15 else -1
+        if not 8 <= sum(c.isdigit() for c in span) <= 15:
+            return -1
+        return 1 if STRICT[kind].fullmatch(span) else 0
     if kind == "secret":
         return 1 if len(set(span.lower())) >= 8 else -1
     return 0
@@ -106,7 +115,8 @@ def gazetteer(kind: str, span: str) -> int:
 
 def votes(kind: str, span: str, before: str) -> tuple[int, int, int, int]:
     context = 1 if CONTEXT[kind].search(before) else -1 if AGAINST.search(before) else 0
-    return 1 if STRICT[kind].fullmatch(span) else -1, checksum(kind, span), gazetteer(kind, span), context
+    like = 1 if STRICT[kind].fullmatch(span) else 0 if kind in VAGUE and VAGUE[kind].fullmatch(span) else -1
+    return like, checksum(kind, span), gazetteer(kind, span), context
 
 
 def _bucket(text: str, size: int) -> int:
@@ -118,7 +128,7 @@ def shape(span: str, after: str) -> int:
     return _bucket(re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", span))[:12] + (" " if after[:1].isspace() or not after else "x"), SHAPES)
 
 
-_NAME_AT = re.compile(r"\b(?:" + "|".join(sorted(NAMES)) + r") [A-Z][a-z]+\b")
+_NAME_AT = re.compile(r"\b(?:" + "|".join(sorted(NAMES)) + rf") {_SURNAME}(?!\w)")
 
 
 def spans(text: str, names: bool) -> list[tuple[str, int, int]]:

@@ -109,6 +109,19 @@ def test_private_spans_of_odd_rows(spark):
     assert pii.private_spans(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_private_data_of_other_countries(spark):
+    phones = ["+33 1 23 45 67 89", "01 23 45 67 89", "+34 612 34 56 78", "+49 30 12345678", "+49 151 23456789", "(030) 1234567", "5551234567", "+15551234567"]
+    people = ["Hans Müller", "José García", "María López"]
+    for kind, given in (("phone", phones), ("person", people)):
+        for x in given:
+            assert (kind, 6, 6 + len(x)) in pii.spans(f"alpha {x} beta", True)
+    rows = [(k, f"{prose(k, 5)} {'phone' if k % 2 else 'tel'}: {phones[k % 8]} {prose(k + 500, 5)}") for k in range(80)]
+    rows += [(100 + k, f"{prose(k, 5)} signed by {people[k % 3]} {prose(k + 500, 5)}") for k in range(30)]
+    rows += [(200 + k, f"{prose(k, 5)} {x} {prose(k + 500, 5)}") for k, x in enumerate(["2024-01-15", "3.14159265", "1,234,567", "12 45 78 90"] * 10)]
+    got = {(r["doc_id"], r["kind"]) for r in pii.private_spans(docs(spark, rows)).collect()}
+    assert got == {(i, "phone" if i < 100 else "person") for i, _ in rows if i < 200}
+
+
 # quality
 
 
