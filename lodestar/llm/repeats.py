@@ -1,9 +1,10 @@
 """Operator 5, suffix-array dedup by prefix-free parsing.
 
-Rolling-hash triggers serve twice.  Minimal hashes of 8 words mark anchors such that every passage of the least
-length holds one; the passages around anchors that recur are brought together by anchor, equal ones once.  Each group is then parsed:
+Rolling-hash triggers serve twice.  The minimal hash of 8 words in each passage of the least length is its anchor; the
+passages around anchors that recur are brought together by anchor, equal ones once.  Each group is then parsed:
 triggers cut it into phrases that overlap by the trigger, the suffix array of the dictionary of distinct phrases and that of
 the parse combine into the order of all its suffixes, and neighbours in that order that share the least length are repeats.
+Anchors of very many different passages are no group: the hashes of their windows are counted over the whole cluster.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm import textkit
-from lodestar.llm.common import checkpoint, column, picked, slices
+from lodestar.llm.common import column, picked, slices, stored
 
 ANCHOR = 8
 
@@ -36,26 +37,26 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(back[:m], front[width - 1 : width - 1 + m])
 
 
-def anchors(w: textkit.Words, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word positions, hashes) of anchors: a passage of `least` words of a text holds one, at the same place wherever it occurs."""
-    grams = textkit.ngrams(w.hash, ANCHOR)
-    width = least - ANCHOR + 1
-    low = sliding(grams, width, np.minimum)
-    if not len(low):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    own = np.searchsorted(w.first, np.arange(len(low)), side="right") - 1
-    low[np.arange(len(low)) + least > w.first[own + 1]] = 0  # runs over a text's end
-    reach = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    high = sliding(reach, width, np.maximum)[: len(grams)]
-    at = np.flatnonzero((high == grams) & (grams > 0))
-    return at, grams[at]
+_PLACE = np.uint64((1 << 30) - 1)
+
 
+def anchors(w: textkit.Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word position, hash, left, right) of each anchor: it is the first minimal gram of those windows of `least` words that make up left to right - 1.
 
-def bounds(w: textkit.Words, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words within `least` of an anchor on both sides, within its text."""
-    own = np.searchsorted(w.first, at, side="right") - 1
-    reach = least - ANCHOR
-    return np.maximum(at - reach, w.first[own]), np.minimum(at + least, w.first[own + 1])
+    Each window of a text has one anchor, at the same place wherever its words occur.
+    """
+    grams = textkit.ngrams(w.hash, ANCHOR)
+    low = sliding((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), least - ANCHOR + 1, np.minimum)
+    begin = np.arange(len(low))
+    own = np.searchsorted(w.first, begin, side="right") - 1
+    begin = begin[begin + least <= w.first[own + 1]]  # the others run over a text's end
+    if not len(begin):
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
+    at = (low[begin] & _PLACE).astype(np.int64)
+    new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
+    last = np.append(new[1:], len(at)) - 1
+    return at[new], grams[at[new]], begin[new], begin[last] + least
 
 
 def span_hash(hashes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -150,61 +151,77 @@ def repeated_starts(text: np.ndarray, piece: np.ndarray, least: int, place: np.n
     return found
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, shard_words: int = 400_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, shard_words: int = 200_000, hot: int = 2000) -> DataFrame:
     """(doc_id, start, stop): maximal runs of words, start to stop - 1, covered by passages of `least` words that occur more than once.
 
     Words are runs of other than ASCII white space, ASCII case folded, numbered from 0.  Both the first and the later
-    occurrences are given, in other documents or the same one.  Null ids, null texts, and texts of fewer than `least` words give no rows.
+    occurrences are given, in other documents or the same one.  Null ids, null texts, and texts of fewer than `least` words give no rows;
+    very long texts are read whole.
     Repeated rows count once, as do equal passages at one place in several texts of an id; such an id has the runs of each text, merged by position.
-    Other columns are ignored; an empty table gives no rows.  `shard_words` bounds what one suffix array is built of, but
-    for a single anchor's distinct passages.
+    Other columns are ignored; an empty table gives no rows.  `least` is at most 200.  A suffix array is built of about `shard_words` words; an
+    anchor of more than `hot` different passages belongs to no suffix array, its windows are counted by their hashes, which gives the same rows.
     """
-    spark = docs.sparkSession
+    if not ANCHOR < least <= 200:
+        raise ValueError("least must be over 8 and at most 200")
     base = picked(docs, id=id_col, text=text_col).filter("id is not null and text is not null").withColumn("id", F.col("id").cast("long"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 w = textkit.words(column(batch, "text"))
-                at, name = anchors(w, least)
-                left, right = bounds(w, at, least)
+                at, name, left, right = anchors(w, least)
                 passage = passage_hash(w.hash, left, at, right) if len(at) else name
                 own = np.searchsorted(w.first, at, side="right") - 1
-                where = (at - w.first[own]).astype(np.int32)
-                sizes = [pa.array((at - left).astype(np.int32)), pa.array((right - at).astype(np.int32))]
+                where = (at - w.first[own]) << 16 | (at - left) << 8 | (right - at - ANCHOR)
                 ids = column(batch, "id").take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(passage.view(np.int64)), ids, pa.array(where), *sizes], names=["anchor", "passage", "id", "at", "before", "after"])
-
-    rows = base.mapInArrow(scan, "anchor long, passage long, id long, at int, before int, after int").distinct()
-    many = F.count("*").over(Window.partitionBy("anchor"))
-    found = checkpoint(rows.withColumn("many", many).filter("many > 1").drop("many"))
-    first = F.min(F.struct("id", "at", "before", "after"))
-    classes = found.groupBy("anchor", "passage").agg(F.count("*").alias("n"), first.alias("first"))
-    kinds = F.count("*").over(Window.partitionBy("anchor"))
-    classes = checkpoint(classes.withColumn("kinds", kinds).select("anchor", "passage", "n", "kinds", "first.*"))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(passage.view(np.int64)), ids, pa.array(where)], names=["anchor", "passage", "id", "loc"])
+
+    rows = base.mapInArrow(scan, "anchor long, passage long, id long, loc long")
+    occurrence = F.xxhash64("id", F.shiftright("loc", 16))
+    # two occurrences that differ have different hashes; minimum and maximum are combined before the shuffle, however often an anchor occurs
+    several = rows.groupBy("anchor").agg(F.min(occurrence).alias("x"), F.max(occurrence).alias("y")).filter("x <> y").select("anchor")
+    found = stored(rows.join(several, "anchor", "left_semi"))
+    kinds = found.groupBy("anchor", "passage").agg((F.min(occurrence) != F.max(occurrence)).alias("twice"), F.first("id").alias("id"), F.first("loc").alias("loc"))
+    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    classes = stored(kinds.join(many, "anchor"))
+    before, after = F.shiftright("loc", 8).bitwiseAND(F.lit(255)).cast("int"), (F.col("loc").bitwiseAND(F.lit(255)) + ANCHOR).cast("int")
     mixed = classes.filter("kinds > 1")
-    total = mixed.agg(F.sum(F.col("before") + F.col("after"))).first()[0] or 0
+    total = mixed.filter(F.col("kinds") <= hot).agg(F.sum(before + after)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_words))
-    wanted = mixed.groupBy("id").agg(F.collect_list(F.struct("anchor", "passage", "at", "before", "after")).alias("wanted"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = mixed.groupBy("id").agg(F.collect_list(F.struct("anchor", "passage", "loc", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
+    fetched = base.join(wanted, "id").select("text", "wanted")
+
+    def fetch(batch: pa.RecordBatch, hottest: bool) -> tuple[textkit.Words, list[np.ndarray]]:
+        """(words, [anchor, passage, left, place of the anchor, right]) of the wanted passages that the texts hold."""
+        w = textkit.words(column(batch, "text"))
+        lists = column(batch, "wanted")
+        flat = lists.flatten()
+        own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        name, passage, loc = (flat.field(k).to_numpy() for k in range(3))
+        at = w.first[own] + (loc >> 16)
+        left, right = at - (loc >> 8 & 255), at + (loc & 255) + ANCHOR
+        # an id may have several texts: only where the passage is there
+        there = (flat.field(3).to_numpy(zero_copy_only=False) == hottest) & (right <= w.first[own + 1])
+        there[there] = passage_hash(w.hash, left[there], at[there], right[there]).view(np.int64) == passage[there]
+        return w, [x[there] for x in (name, passage, left, at, right)]
+
+    def fetch_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                w = textkit.words(column(batch, "text"))
-                lists = column(batch, "wanted")
-                flat = lists.flatten()
-                own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                name, passage, at, before, after = (flat.field(k).to_numpy() for k in range(5))
-                at = w.first[own] + at
-                # an id may have several texts: only where the passage is there
-                there = at + after <= w.first[own + 1]
-                there[there] = passage_hash(w.hash, (at - before)[there], at[there], (at + after)[there]).view(np.int64) == passage[there]
-                name, passage, at, before, after = name[there], passage[there], at[there], before[there], after[there]
+                w, (name, passage, left, at, right) = fetch(batch, False)
                 short = (w.hash >> np.uint64(32)).astype(np.uint32)
-                held = [short[a:b].tobytes() for a, b in zip(at - before, at + after, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(passage), pa.array(before), pa.array(held, pa.binary())], names=["anchor", "passage", "before", "held"])
+                held = [short[a:b].tobytes() for a, b in zip(left, right, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(passage), pa.array((at - left).astype(np.int32)), pa.array(held, pa.binary())], names=["anchor", "passage", "before", "held"])
 
-    held = base.join(wanted, "id").select("text", "wanted").mapInArrow(fetch, "anchor long, passage long, before int, held binary")
+    def fetch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                w, (_, passage, left, at, right) = fetch(batch, True)
+                count = right - left - least + 1
+                k = np.repeat(np.arange(len(count)), count)
+                begin = left[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+                window = span_hash(w.hash, begin, begin + least) if len(begin) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(passage[k]), pa.array((begin - at[k]).astype(np.int32)), pa.array(window.view(np.int64))], names=["passage", "lo", "window"])
 
     def order(table: pa.Table) -> pa.Table:
         raw, offsets = textkit.buffers(table.column("held"))
@@ -227,12 +244,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         cols = [pa.array(anchor[k]), pa.array(passage[k]), pa.array((at[new] - shift).astype(np.int32)), pa.array((at[final] + least - shift).astype(np.int32))]
         return pa.table(cols, names=["anchor", "passage", "lo", "hi"])
 
+    held = fetched.mapInArrow(fetch_words, "anchor long, passage long, before int, held binary")
     partial = held.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(order, "anchor long, passage long, lo int, hi int")
-    whole = classes.filter("n > 1").select("anchor", "passage", (-F.col("before")).alias("lo"), F.col("after").alias("hi")).filter(F.col("hi") - F.col("lo") >= least)
+    whole = classes.filter("twice").select("anchor", "passage", (-before).alias("lo"), after.alias("hi"))
     marks = partial.unionAll(whole)
-    spans = found.join(marks, ["anchor", "passage"]).select("id", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).distinct()
+    if mixed.filter(F.col("kinds") > hot).limit(1).count():
+        # a window's words have one anchor at one place, so equal windows of different passages are occurrences of their own
+        windows = fetched.mapInArrow(fetch_windows, "passage long, lo int, window long")
+        twice = windows.groupBy("window").agg(F.min("passage").alias("x"), F.max("passage").alias("y")).filter("x <> y")
+        shared = windows.join(twice, "window", "left_semi").select("passage", "lo").distinct()
+        islands = shared.select("passage", "lo", (F.col("lo") - F.row_number().over(Window.partitionBy("passage").orderBy("lo"))).alias("island"))
+        runs = islands.groupBy("passage", "island").agg(F.min("lo").alias("lo"), (F.max("lo") + least).alias("hi"))
+        hottest = mixed.filter(F.col("kinds") > hot).select("anchor", "passage")
+        marks = marks.unionAll(runs.join(hottest, "passage").select("anchor", "passage", "lo", "hi"))
+    spans = found.join(marks, ["anchor", "passage"]).select("id", (F.shiftright("loc", 16) + F.col("lo")).alias("lo"), (F.shiftright("loc", 16) + F.col("hi")).alias("hi")).distinct()
     upto = Window.partitionBy("id").orderBy("lo", "hi")
-    before = F.max("hi").over(upto.rowsBetween(Window.unboundedPreceding, -1))
-    run = F.sum(F.when(before >= F.col("lo"), 0).otherwise(1)).over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    before_ = F.max("hi").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(before_ >= F.col("lo"), 0).otherwise(1)).over(upto.rowsBetween(Window.unboundedPreceding, 0))
     merged = spans.withColumn("run", run).groupBy("id", "run").agg(F.min("lo").alias("start"), F.max("hi").alias("stop"))
     return merged.select(F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))

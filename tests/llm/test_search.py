@@ -126,8 +126,17 @@ def test_repeated_passages_of_odd_rows(spark):
     got = {tuple(r) for r in repeats.repeated_passages(docs(spark, rows)).collect()}
     assert got == plain_repeats(rows) and {(20, 30, 90), (21, 0, 60), (26, 0, 50)} <= got and not {24, 25} & {r[0] for r in got}
     assert repeats.repeated_passages(docs(spark, rows).limit(0)).count() == 0
-    many = {tuple(r) for r in repeats.repeated_passages(docs(spark, rows), shard_words=200).collect()}
-    assert many == got
+    for shard_words, hot in ((200, 2000), (200_000, 1)):
+        assert {tuple(r) for r in repeats.repeated_passages(docs(spark, rows), shard_words=shard_words, hot=hot).collect()} == got
+
+
+def test_passages_of_hot_anchors(spark):
+    p, q = prose(1, 60), prose(2, 20)
+    rows = [(k, f"{prose(100 + k, 60)} {p} {prose(300 + k, 60)}") for k in range(40)] + [(100 + k, f"{prose(500 + k, 60)} {q} {prose(700 + k, 60)}") for k in range(40)]
+    rows += [(200 + k, prose(100 + k, 60) + " " + p) for k in range(5)] + rows[:2]
+    want = plain_repeats(rows)
+    for hot in (0, 3, 10, 2000):
+        assert {tuple(r) for r in repeats.repeated_passages(docs(spark, rows), hot=hot).collect()} == want
 
 
 # benchmark
