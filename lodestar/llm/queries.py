@@ -70,14 +70,18 @@ marked AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY key) A
 steps AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS fresh FROM marked),
 runs AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM steps)
 SELECT doc_id, min(pos) AS start, max(pos) + 50 AS stop FROM runs GROUP BY doc_id, run""",
-    # exact Jaccard of all classes of equal texts that share a shingle; members of a class with its smallest id
+    # exact Jaccard of all different texts that share a shingle; each stands for its documents through the smallest id
     "op10_minhash": f"""
-WITH docs AS ({_WORDS}),
+WITH RECURSIVE docs AS ({_WORDS}),
 classes AS (SELECT min(doc_id) AS rep, any_value(w) AS w, text FROM docs WHERE len(w) > 0 GROUP BY text),
 shingles AS (SELECT DISTINCT rep, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g FROM classes),
 sizes AS (SELECT rep, count(*) AS n FROM shingles GROUP BY rep),
 shared AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
-pairs AS (SELECT doc_a, doc_b, s.n / CAST(x.n + y.n - s.n AS DOUBLE) AS j FROM shared s JOIN sizes x ON x.rep = doc_a JOIN sizes y ON y.rep = doc_b)
-SELECT doc_a, doc_b, round(j, 6) AS jaccard FROM pairs WHERE j >= 0.5
-UNION ALL SELECT c.rep, d.doc_id, 1.0 FROM docs d JOIN classes c ON c.text = d.text WHERE d.doc_id <> c.rep""",
+pairs AS MATERIALIZED (SELECT doc_a, doc_b FROM shared s JOIN sizes x ON x.rep = doc_a JOIN sizes y ON y.rep = doc_b WHERE s.n / CAST(x.n + y.n - s.n AS DOUBLE) >= 0.5),
+edges AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM edges UNION SELECT x, b FROM reach JOIN edges ON a = y),
+roots AS (SELECT x AS rep, min(y) AS root FROM reach GROUP BY x),
+counts AS (SELECT a AS rep, count(*) AS links FROM edges GROUP BY a)
+SELECT doc_id, coalesce(root, c.rep) AS class_id, coalesce(links, 0) AS links
+FROM docs d JOIN classes c ON c.text = d.text LEFT JOIN roots r ON r.rep = c.rep LEFT JOIN counts n ON n.rep = c.rep""",
 }
