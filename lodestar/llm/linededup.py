@@ -154,11 +154,13 @@ def _counted(rows: DataFrame, key: str, *more: Column) -> DataFrame:
 
 def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str, count_col: str | None = None) -> DataFrame:
     """docs with the lines (id, line) cut from their texts; other rows and columns as they were."""
-    own, gone = free_name(docs, "id"), free_name(docs, "gone")
-    by = dropped.groupBy(F.col("id").alias(own)).agg(F.array_sort(F.collect_set("line")).alias(gone))
+    own, gone, parts = free_name(docs, "id"), free_name(docs, "gone"), free_name(docs, "parts")
+    by = dropped.groupBy(F.col("id").alias(own)).agg(F.collect_set(F.col("line").cast("int")).alias(gone))
     joined = docs.join(by, F.col(f"`{id_col}`").cast("long") == F.col(own), "left")
-    parts = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
+    joined = joined.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split(F.col(f"`{text_col}`"), "\n", -1)))
+    # array_except hashes: linear, whatever number of lines goes
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.col(parts)[i]), "\n")
     text = F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if count_col:

@@ -21,10 +21,10 @@ from lodestar.llm.common import checkpoint, column, picked, slices
 from lodestar.llm.decontaminate import Lookup
 
 KINDS = ("email", "phone", "ip", "card", "secret", "ssn", "iban", "person")
-#: Loose patterns: what might be of a kind.
+#: Loose patterns: what might be of a kind.  What may be long is taken whole and only from where it begins, so that long lines take linear time.
 CANDIDATES = re.compile(
-    r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)*)"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?=[A-Za-z]*\d)[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])|\b(?:sk|pk|ghp|AKIA)[_-]?[0-9A-Za-z]{16,64}\b)"
+    r"(?P<email>(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)*)"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?=[A-Za-z]*\d)[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])|\b(?:sk|pk|ghp|AKIA)[_-]?[0-9A-Za-z]{16,}+(?!\w))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -42,7 +42,7 @@ STRICT = {
     ),
     "ip": re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"),
     "card": re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}"),
-    "secret": re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA)[_-]?[0-9A-Za-z]{16,64}"),
+    "secret": re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|AKIA)[_-]?[0-9A-Za-z]{16,}"),
     "ssn": re.compile(r"\d{3}-\d{2}-\d{4}"),
     "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9 ]+"),
     "person": re.compile(rf"[{_CAPITAL}][^\W\d_]+ {_SURNAME}"),
@@ -69,6 +69,8 @@ NAMES = frozenset(
 DOMAINS = frozenset("com org net edu gov mil int info biz io co me us uk de fr es it nl pl ru cn jp in br ca au ch at be se no dk fi eu dev app cloud".split())
 VOTERS = ("regex", "checksum", "gazetteer", "context")
 SHAPES, WORDS = 64, 256
+#: Characters before a span that are read for its context; no pattern of CONTEXT or AGAINST is longer.
+REACH = 48
 FEATURES = len(KINDS) * (1 + 3 * len(VOTERS)) + SHAPES + WORDS
 
 
@@ -125,7 +127,7 @@ def _bucket(text: str, size: int) -> int:
 
 def shape(span: str, after: str) -> int:
     """What the span is made of: runs of digits, letters and others, and whether it ends where a word does."""
-    return _bucket(re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", span))[:12] + (" " if after[:1].isspace() or not after else "x"), SHAPES)
+    return _bucket(re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", span)) + (" " if after[:1].isspace() or not after else "x"), SHAPES)
 
 
 _NAME_AT = re.compile(r"\b(?:" + "|".join(sorted(NAMES)) + rf") {_SURNAME}(?!\w)")
@@ -160,7 +162,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 texts = column(batch, "text").take(pa.array(some)).to_pylist()
                 for i, name, text in zip(some, ids, texts, strict=True):
                     for kind, a, b in _near(text, bool(digits[i]), bool(named[i])):
-                        before = text[max(0, a - 48) : a]
+                        before = text[max(0, a - REACH) : a]
                         words = before.split()
                         previous = words[-1].lower() if words else ""
                         rows.append((name, a, b, kind, *votes(kind, text[a:b], before), shape(text[a:b], text[b : b + 1]), _bucket(previous, WORDS)))
@@ -245,7 +247,9 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Kinds are email, phone, ip, card, secret, ssn, iban and person.  Votes are counted and reliabilities are
     estimated over the whole corpus, for each kind apart; the classifier sees the kind, the votes, the span's shape and the word before it, with
     the corpus' counts of each combination as weights.  Its probability is rounded to 6 digits.
-    Null and empty texts have no spans; neither has an empty table.  Null ids are kept as null.  Repeated rows are counted and given once.
+    Candidates of the patterns don't overlap: the one that begins first counts, and of several that begin at one
+    place the first of email, secret, iban, ip, ssn, card and phone; names may overlap with others.  Very long texts and spans are read whole.
+    Null and empty texts have no spans; neither has an empty table.  Null ids are kept as null.  Spans of repeated rows are counted and given once.
     Other columns are ignored.
     """
     base = picked(docs, id=id_col, text=text_col).filter("text is not null").withColumn("id", F.col("id").cast("long"))

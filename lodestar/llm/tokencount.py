@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,12 +22,27 @@ from lodestar.llm.common import checkpoint, column, content_key, picked, slices
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a byte-level BPE of the .tiktoken kind splits a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_BLANK = re.compile(rf"(?<!{_WHITE}){_WHITE}{{1000,}}")
 NORMALISATION = "1: CR LF and CR become LF; trailing spaces, tabs and LF go"
 _loaded: dict[tuple[str, str], Callable[[list[str]], list[int]]] = {}
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t\n]+\z", "")
+    return F.rtrim(F.regexp_replace(text, r"\r\n?", "\n"), F.lit(" \t\n"))
+
+
+def parts(text: str) -> list[str]:
+    """Texts whose counts by PATTERN add up to that of the text, cut around long white space, at which PATTERN would run out of stack.
+
+    Before other characters, PATTERN makes one piece of all white space but its last character.
+    """
+    out, at = [], 0
+    for m in _LONG_BLANK.finditer(text):
+        if m.end() < len(text):
+            out += [text[at : m.start()], text[m.start() : m.end() - 1]]
+            at = m.end() - 1
+    return [*out, text[at:]]
 
 
 def version(path: str, pattern: str = PATTERN) -> str:
@@ -43,7 +59,8 @@ def encoder(path: str, pattern: str = PATTERN) -> Callable[[list[str]], list[int
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).open("rb"))}
             bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            _loaded[path, pattern] = lambda texts: [len(bpe.encode_ordinary(t)) for t in texts]
+            cut = parts if pattern == PATTERN else lambda text: [text]
+            _loaded[path, pattern] = lambda texts: [sum(len(bpe.encode_ordinary(t)) for t in cut(text)) for text in texts]
         elif path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -79,6 +96,7 @@ def token_counts(
     Texts are normalised (CR LF and CR to LF, trailing spaces, tabs and LF dropped), and the normalised text is what is
     encoded.  Equal normalised texts are encoded once.  Of at most `small` misses against a cache
     that isn't empty, the keys are broadcast to find the texts; beyond, the texts are shuffled by key.
+    Very long texts are encoded whole; so is long white space, with the pattern PATTERN or another that can bear it.
     A null text has a null count, an empty one 0.  Null ids and repeated rows are rows like any other.
     Other columns are ignored; an empty table adds nothing to the cache.
     """
