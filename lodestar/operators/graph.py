@@ -1,12 +1,12 @@
 """Impact analysis: bounded traversals of the call graph, inference of confidence, ranked context.
 
 Traversals go hop by hop with a `seed` column, so that one run serves any number of seeds; each frontier is
-written to the checkpoint folder, which cuts the lineage and survives the loss of executors.
+written as a table to the shared folder, which cuts the lineage and survives the loss of executors.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,51 +17,99 @@ from lodestar.operators.lookup import symbols_at_positions
 from lodestar.operators.relations import resolve_definition
 from lodestar.operators.vectors import top_k
 from lodestar.schemas import CALLABLE_KINDS
+from lodestar.storage import stored
 from lodestar.workspace import Workspace
 
 
-def _written(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestar-graph-"))
-    return df.checkpoint()
+def _calls(ws: Workspace) -> DataFrame:
+    """(caller, callee, name), written once: call edges by exact URI, and the callee's bare name."""
+    calls = ws.edges.filter("kind = 'calls'").select(F.col("from_uri").alias("caller"), F.col("to_uri").alias("callee")).distinct()
+    return stored(calls.withColumn("name", S.callee_name(F.col("callee"))))
+
+
+def _names(ws: Workspace) -> DataFrame:
+    return ws.symbols.select("uri", S.callee_name(F.col("uri")).alias("name")).filter("name <> ''").distinct()
 
 
 def links(ws: Workspace, bridge: bool = True) -> DataFrame:
-    """(caller, callee): call edges by exact URI, and with bridge also to every symbol of the callee's bare name."""
+    """(caller, callee): call edges by exact URI, and with bridge also to every symbol of the callee's bare name.
+
+    The rows of a name are callers times symbols; traversals don't make them, they go from symbols to names and from names to callers.
+    """
     exact = ws.edges.filter("kind = 'calls'").select(F.col("from_uri").alias("caller"), F.col("to_uri").alias("callee"))
     if not bridge:
         return exact.distinct()
-    names = ws.symbols.select(F.col("uri").alias("callee"), S.callee_name(F.col("uri")).alias("name")).filter("name <> ''")
+    names = _names(ws).withColumnRenamed("uri", "callee")
     by_name = exact.select("caller", S.callee_name(F.col("callee")).alias("name")).distinct().join(names, "name").select("caller", "callee")
     return exact.union(by_name).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, source: str, target: str, depth: int) -> DataFrame:
-    """(seed, node, distance): what edges lead to from each seed in 1 to `depth` hops, at the least distance; the seed itself isn't."""
-    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
-    seen = _written(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct())
-    frontier = seen
+Step = Callable[[DataFrame], DataFrame]
+
+
+def spread(step: Step, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, distance): what `step`, from (seed, node) to (seed, node), leads to in 1 to `depth` hops, at the least distance; the seed itself isn't."""
+    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
+    frontier = seen = stored(seen)
     for hop in range(1, depth + 1):
-        found = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = _written(found.join(seen, ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)))
+        found = step(frontier.select("seed", "node")).distinct()
+        frontier = stored(found.join(seen, ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen.filter("distance > 0")
 
 
+def reach(edges: DataFrame, seeds: DataFrame, source: str, target: str, depth: int) -> DataFrame:
+    """spread() along edges."""
+    steps = stored(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct())
+    return spread(lambda at: at.join(steps, "node").select("seed", F.col("next").alias("node")), seeds, depth)
+
+
 def callers(ws: Workspace, seeds: DataFrame, depth: int = 4, bridge: bool = True) -> DataFrame:
-    return reach(links(ws, bridge), seeds, "callee", "caller", depth)
+    """(seed, node, distance) of what calls a seed, directly or not; with bridge a symbol is also called by its bare name.
+
+    Of one name, a seed's frontier is one row, however many symbols have it.
+    """
+    calls = _calls(ws)
+    if not bridge:
+        return spread(lambda at: at.join(calls, F.col("node") == F.col("callee")).select("seed", F.col("caller").alias("node")), seeds, depth)
+    names = stored(_names(ws).withColumnRenamed("uri", "node"))
+    by_name = stored(calls.filter("name <> ''").select("name", F.col("caller").alias("next")).distinct())
+
+    def up(at: DataFrame) -> DataFrame:
+        exact = at.join(calls, F.col("node") == F.col("callee")).select("seed", F.col("caller").alias("node"))
+        named = at.join(names, "node").select("seed", "name").distinct().join(by_name, "name").select("seed", F.col("next").alias("node"))
+        return exact.unionByName(named)
+
+    return spread(up, seeds, depth)
+
+
+def callees(ws: Workspace, seeds: DataFrame, depth: int, bridge: bool = True) -> DataFrame:
+    """(seed, node, distance) of what a seed calls, directly or not; with bridge, a call leads to every symbol of its bare name too."""
+    calls = _calls(ws)
+    if not bridge:
+        return spread(lambda at: at.join(calls, F.col("node") == F.col("caller")).select("seed", F.col("callee").alias("node")), seeds, depth)
+    names = stored(_names(ws))
+
+    def down(at: DataFrame) -> DataFrame:
+        called = at.join(calls, F.col("node") == F.col("caller")).select("seed", "callee", "name")
+        named = called.select("seed", "name").distinct().join(names, "name").select("seed", F.col("uri").alias("node"))
+        return called.select("seed", F.col("callee").alias("node")).unionByName(named)
+
+    return spread(down, seeds, depth)
 
 
 def file_dependents(ws: Workspace, seeds: DataFrame, depth: int = 4) -> DataFrame:
-    """(seed, node, distance): files that reach a seed's file over references to exported symbols; seeds (seed, file_uri)."""
+    """(seed, node, distance): files that reach a seed's file over references to exported symbols; seeds (seed, file_uri).
+
+    Uses of exported symbols are written once, without repetitions in a file; dependencies between files are made for the frontier of each hop only.
+    """
     surface = ws.symbols.filter("is_exported").select(F.col("file_uri").alias("target"), F.col("uri").alias("symbol_uri"))
-    uses = ws.occurrences.select("symbol_uri", F.col("file_uri").alias("dependent")).distinct()
-    deps = _written(uses.join(surface, "symbol_uri").filter("target <> dependent").select("target", "dependent").distinct())
+    uses = ws.occurrences.select("symbol_uri", F.col("file_uri").alias("dependent")).join(surface, "symbol_uri").filter("target <> dependent")
+    deps = stored(uses.select("target", "dependent").distinct())
     files = seeds.select(F.col("file_uri").alias("seed")).distinct()
-    found = reach(deps, files, "target", "dependent", depth)
+    found = spread(lambda at: at.join(deps, F.col("node") == F.col("target")).select("seed", F.col("dependent").alias("node")), files, depth)
     return seeds.join(found.withColumnRenamed("seed", "file_uri"), "file_uri").select("seed", "node", "distance")
 
 
@@ -100,7 +148,13 @@ def batch_seeds(ws: Workspace, changed_files: DataFrame) -> DataFrame:
 
 
 def blast_radius_batch(ws: Workspace, changed_files: DataFrame, depth: int = 4, bridge: bool = False) -> DataFrame:
-    return blast_radius(ws, batch_seeds(ws, changed_files), depth, bridge)
+    """blast_radius() of batch_seeds(), indexed true; a changed file that the index doesn't know is a row of its own, indexed false."""
+    rows = blast_radius(ws, batch_seeds(ws, changed_files), depth, bridge).withColumn("indexed", F.lit(True))
+    zero = F.lit(0).cast("long")
+    unknown = not_indexed(ws, changed_files).select(
+        F.col("uri").alias("seed"), zero.alias("direct_dependents"), zero.alias("transitive_dependents"), F.lit("low").alias("risk"), F.lit("empty").alias("edges_source"), F.lit(False).alias("indexed")
+    )
+    return rows.unionByName(unknown)
 
 
 def not_indexed(ws: Workspace, changed_files: DataFrame) -> DataFrame:
@@ -114,7 +168,7 @@ def blast_radius_limited(ws: Workspace, seed: str, depth: int = 4, limit: int =
     node before whose turn more than `limit` are known, and is truncated then or where a node at full depth is reached.
     """
     edges = ws.edges.filter("kind = 'calls'").groupBy(F.col("to_uri").alias("node"), F.col("from_uri").alias("next")).agg(F.min("ordinal").alias("ordinal"))
-    seen = _written(ws.spark.createDataFrame([(seed, 0, 1)], "node string, distance int, place long"))
+    seen = stored(ws.spark.createDataFrame([(seed, 0, 1)], "node string, distance int, place long"))
     frontier, total, cut = seen, 1, False
     for hop in range(1, depth + 1):
         found = frontier.join(edges, "node").select(F.col("next").alias("node"), F.struct("place", "ordinal", "next").alias("by"))
@@ -128,7 +182,7 @@ def blast_radius_limited(ws: Workspace, seed: str, depth: int = 4, limit: int =
         first = stop.withColumn("before", before).filter(F.col("before") > limit).agg(F.min("r")).first()[0]
         if first is not None:
             cut, ranked = True, ranked.filter(F.col("parent") < first)
-        frontier = _written(ranked.select("node", "distance", "place"))
+        frontier = stored(ranked.select("node", "distance", "place"))
         fresh = frontier.count()
         if not fresh:
             break
@@ -141,11 +195,15 @@ def blast_radius_limited(ws: Workspace, seed: str, depth: int = 4, limit: int =
 
 
 def semantic_items(ws: Workspace, items: DataFrame, min_score: float = 0.6, k: int = 20) -> DataFrame:
-    """(seed, uri, score, source) of the k nearest vectors of each seed, by its own vector, from min_score on.
+    """(seed, uri, score, source) of the k nearest vectors of each seed, by its own vector or else its file's, from min_score on.
 
     source is both for a hit in a file of the static items, else semantic.
     """
-    queries = ws.embeddings.filter("scope = 'symbol'").join(items.select(F.col("seed").alias("uri")).distinct(), "uri").select(F.col("uri").alias("query"), "vector")
+    items = stored(items.select("seed", "file_uri").distinct())
+    seeds = items.select(F.col("seed").alias("uri")).distinct().join(ws.symbols.select("uri", F.col("file_uri").alias("home")).dropDuplicates(["uri"]), "uri", "left")
+    own = ws.embeddings.filter("scope = 'symbol'").select("uri", F.col("vector").alias("own"))
+    of_file = ws.embeddings.filter("scope = 'file'").select(F.col("uri").alias("home"), F.col("vector").alias("of_file"))
+    queries = seeds.join(own, "uri", "left").join(of_file, "home", "left").select(F.col("uri").alias("query"), F.coalesce("own", "of_file").alias("vector")).filter("vector is not null")
     pool = ws.embeddings.filter("scope = 'symbol'").select("uri", "vector", "model")
     hits = top_k(queries, pool, k, min_score=min_score, exclude_self=True)
     home = ws.symbols.select("uri", "file_uri").dropDuplicates(["uri"])
@@ -157,7 +215,7 @@ def semantic_items(ws: Workspace, items: DataFrame, min_score: float = 0.6, k: i
 def outgoing_calls(ws: Workspace, seeds: DataFrame, depth: int = 1) -> DataFrame:
     """(seed, from_uri, to_uri, distance): call edges by exact URI within 1 to 8 hops; the exact set, without a limit on edges."""
     depth = min(max(depth, 1), 8)
-    calls = ws.edges.filter("kind = 'calls'").select("from_uri", "to_uri").distinct()
+    calls = stored(ws.edges.filter("kind = 'calls'").select("from_uri", "to_uri").distinct())
     nodes = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
     if depth > 1:
         nodes = nodes.unionByName(reach(calls, seeds, "from_uri", "to_uri", depth - 1))
@@ -166,7 +224,7 @@ def outgoing_calls(ws: Workspace, seeds: DataFrame, depth: int = 1) -> DataFrame
 
 def outgoing_impact(ws: Workspace, seeds: DataFrame, depth: int = 8, bridge: bool = True) -> DataFrame:
     """(seed, symbol_uri, file_uri, distance, confidence): what a seed calls, directly or not, where it is defined."""
-    found = reach(links(ws, bridge), seeds, "caller", "callee", min(max(depth, 1), 8))
+    found = callees(ws, seeds, min(max(depth, 1), 8), bridge)
     homes = resolve_definition(ws, found.select(F.col("node").alias("symbol_uri")))
     rows = found.join(homes, found["node"] == homes["symbol_uri"])
     return rows.select("seed", "symbol_uri", "file_uri", "distance", S.confidence_at(F.col("distance")).alias("confidence"))
@@ -188,9 +246,10 @@ def infer_confidence(ws: Workspace) -> DataFrame:
 
 
 def upgrade_symbols(symbols: DataFrame, upgrades: DataFrame) -> DataFrame:
-    """symbols after upgrades (uri, confidence_score, signature, documentation): those of at least the held confidence win, by what they have."""
+    """symbols after upgrades (uri, confidence_score, signature, documentation, perhaps relationships): those of at least the held confidence win, by what they have."""
     best = Window.partitionBy("uri").orderBy(F.desc("new_score"), F.desc("new_signature"), F.desc("new_documentation"))
-    new = upgrades.select("uri", F.col("confidence_score").alias("new_score"), F.col("signature").alias("new_signature"), F.col("documentation").alias("new_documentation"))
+    also = [F.col("relationships").alias("new_relationships")] if "relationships" in upgrades.columns and "relationships" in symbols.columns else []
+    new = upgrades.select("uri", F.col("confidence_score").alias("new_score"), F.col("signature").alias("new_signature"), F.col("documentation").alias("new_documentation"), *also)
     new = new.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
     rows = symbols.join(new, "uri", "left")
     wins = F.col("new_score").isNotNull() & (F.col("new_score") >= F.col("confidence_score"))
@@ -199,6 +258,9 @@ def upgrade_symbols(symbols: DataFrame, upgrades: DataFrame) -> DataFrame:
         "signature": F.when(wins, F.coalesce("new_signature", "signature")).otherwise(F.col("signature")),
         "documentation": F.when(wins, F.coalesce("new_documentation", "documentation")).otherwise(F.col("documentation")),
     }
+    if also:
+        filled = F.when(F.size("new_relationships") > 0, F.col("new_relationships"))
+        out["relationships"] = F.when(wins, F.coalesce(filled, "relationships")).otherwise(F.col("relationships"))
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in symbols.columns])
 
 
@@ -207,7 +269,7 @@ def rank_context(ws: Workspace, probes: DataFrame, depth: int = 4) -> DataFrame:
 
     A symbol counts once, in its first tier; cost is in tokens.
     """
-    at = _written(symbols_at_positions(ws, probes).filter("symbol_uri is not null").select("probe", "symbol_uri"))
+    at = stored(symbols_at_positions(ws, probes).filter("symbol_uri is not null").select("probe", "symbol_uri"))
     own = at.select("probe", "symbol_uri", F.lit(0).alias("tier"), F.lit(1.0).alias("score"))
     calls = callers(ws, at.select(F.col("symbol_uri").alias("seed")).distinct(), depth, bridge=False)
     calling = at.join(calls, F.col("symbol_uri") == F.col("seed")).select("probe", F.col("node").alias("symbol_uri"), F.lit(1).alias("tier"), F.greatest(F.lit(0.1), F.lit(0.9) - F.col("distance") * 0.1).alias("score"))

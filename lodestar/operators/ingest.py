@@ -1,9 +1,8 @@
-"""Ingest: deltas, journals, slices, listings and provenance, as folds and set operations on relations."""
+"""Ingest: deltas, extraction of changed files, journals, slices, listings and provenance, as folds and set operations on relations."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,9 @@ from pyspark.sql.window import Window
 
 from lodestar import schemas
 from lodestar.functions import scalars as S
+from lodestar.operators.relations import backfill_translate
+from lodestar.sources import extract
+from lodestar.storage import exists, stored
 from lodestar.workspace import Workspace
 
 COMPACT_THRESHOLD = 500
@@ -28,31 +30,87 @@ def fold_deltas(deltas: DataFrame) -> DataFrame:
     return latest(deltas, ["uri"], [F.desc("seq")]).filter("action <> 'delete'")
 
 
+def _replaced(ws: Workspace, changed: DataFrame, files: DataFrame, symbols: DataFrame, occurrences: DataFrame, edges: DataFrame) -> Workspace:
+    """The workspace with these rows in place of those of the changed files (file_uri), which lose their vectors."""
+    by_uri = F.col("uri") == F.col("file_uri")
+
+    def swap(held: DataFrame, fresh: DataFrame) -> DataFrame:
+        return held.join(changed, "file_uri", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+    return ws.with_(
+        files=ws.files.join(changed, by_uri, "left_anti").unionByName(files, allowMissingColumns=True),
+        symbols=swap(ws.symbols, symbols),
+        occurrences=swap(ws.occurrences, occurrences),
+        edges=swap(ws.edges, edges),
+        embeddings=ws.embeddings.join(changed, by_uri, "left_anti"),
+    )
+
+
 def apply_delta(ws: Workspace, deltas: DataFrame) -> Workspace:
     """The workspace after deltas (seq, action, document of schemas.DELTAS): rows of changed files are replaced, annotations stay.
 
+    A document with symbols is taken as it is; one with a text alone is extracted anew, and a document with symbols and a
+    text but without edges has its call edges made from the text, with the names of its symbols (see backfill_edges).
     A changed file loses its vector; of two deltas of a file the later one counts.
     """
     rows = deltas.select("seq", "action", "document.*")
-    last = latest(rows, ["uri"], [F.desc("seq")])
+    last = stored(latest(rows, ["uri"], [F.desc("seq")]))
     changed, kept = last.select(F.col("uri").alias("file_uri")), last.filter("action <> 'delete'")
-    new_files = kept.select(
-        "uri", F.col("source_text").alias("text"), S.detect_language(F.col("uri"), F.col("language")).alias("language"), F.col("seq").alias("revision"),
-        F.col("source_text").isNull().alias("precomputed"), F.coalesce(F.sha2("source_text", 256), "content_hash").alias("content_hash"),
+    language = S.detect_language(F.col("uri"), F.col("language"))
+    given = F.size(F.coalesce("symbols", F.array())) > 0
+    files = kept.select(
+        "uri", F.col("source_text").alias("text"), language.alias("language"), F.col("seq").alias("revision"),
+        (F.col("source_text").isNull() | given).alias("precomputed"), F.coalesce(F.sha2("source_text", 256), "content_hash").alias("content_hash"),
     )
-    new_files = new_files.withColumn("indexed_at_ms", F.lit(ws.as_of_ms))
+    files = files.withColumn("indexed_at_ms", F.lit(ws.as_of_ms))
+    texts = kept.filter("source_text is not null").select("uri", F.col("source_text").alias("text"), language.alias("language"), given.alias("given"), (F.size(F.coalesce("edges", F.array())) > 0).alias("linked"))
+    indexed = stored(extract.index_files(texts.filter("not (given and linked)")))
+    new = indexed.join(texts.filter("not given").select("uri"), "uri", "left_semi")
+    missing = texts.filter("given and not linked").select("uri")
 
-    def swap(held: DataFrame, field: str, owner: str = "file_uri") -> DataFrame:
-        fresh = kept.select(F.col("uri").alias("file_uri"), F.posexplode(field).alias("ordinal", "x")).select("file_uri", F.col("ordinal").cast("long").alias("ordinal"), "x.*")
-        return held.join(changed, "file_uri", "left_anti").unionByName(fresh, allowMissingColumns=True)
+    def of(field: str) -> DataFrame:
+        sent = kept.filter(given).select(F.col("uri").alias("file_uri"), F.posexplode(field).alias("ordinal", "x")).select("file_uri", F.col("ordinal").cast("long").alias("ordinal"), "x.*")
+        made = extract.relation(new, field)
+        return sent.unionByName(made.select(*[c for c in made.columns if c in sent.columns or c in ws.__getattribute__(field).columns]), allowMissingColumns=True)
 
-    return ws.with_(
-        files=ws.files.join(changed, F.col("uri") == F.col("file_uri"), "left_anti").unionByName(new_files, allowMissingColumns=True),
-        symbols=swap(ws.symbols, "symbols"),
-        occurrences=swap(ws.occurrences, "occurrences"),
-        edges=swap(ws.edges, "edges"),
-        embeddings=ws.embeddings.join(changed, F.col("uri") == F.col("file_uri"), "left_anti"),
+    symbols = of("symbols")
+    after = ws.symbols.join(changed, "file_uri", "left_anti").select("file_uri", "uri", "display_name", "ordinal").unionByName(symbols.select("file_uri", "uri", "display_name", "ordinal"))
+    raw = extract.relation(indexed.join(missing, "uri", "left_semi"), "edges")
+    return _replaced(ws, changed, files, symbols, of("occurrences"), of("edges").unionByName(backfill_edges(raw, after), allowMissingColumns=True))
+
+
+def backfill_edges(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Call edges (file_uri, from_uri, to_uri, kind, ordinal) extracted from text, their ends named as imported symbols (file_uri, uri, display_name, ordinal) are.
+
+    An end becomes the first symbol of the file with its name, by display name or the URI's last part, else the only symbol of all
+    whose URI ends so; otherwise it stays.
+    """
+    names = symbols.select("file_uri", "uri", "ordinal", F.explode(F.array_distinct(F.array("display_name", S.extract_name(F.col("uri"))))).alias("name")).filter("name <> ''")
+    ends = raw.select("file_uri", F.explode(F.array("from_uri", "to_uri")).alias("end")).distinct().withColumn("name", S.extract_name(F.col("end")))
+    anywhere = symbols.select(S.extract_name(F.col("uri")).alias("name"), "uri").distinct()
+    found = backfill_translate(ends.select("file_uri", "name").distinct(), names, anywhere)
+    named = ends.join(found, ["file_uri", "name"], "left").select("file_uri", "end", F.coalesce("uri", "end").alias("as_"))
+    one = raw.join(named.select("file_uri", F.col("end").alias("from_uri"), F.col("as_").alias("from_")), ["file_uri", "from_uri"])
+    both = one.join(named.select("file_uri", F.col("end").alias("to_uri"), F.col("as_").alias("to_")), ["file_uri", "to_uri"])
+    return both.select("file_uri", F.col("from_").alias("from_uri"), F.col("to_").alias("to_uri"), "kind", "ordinal")
+
+
+def upsert_files(ws: Workspace, files: DataFrame) -> Workspace:
+    """The workspace with files (uri, text, language) extracted anew, one row of each uri; their revision goes up by 1."""
+    rows = stored(files.select("uri", "text", S.detect_language(F.col("uri"), F.col("language")).alias("language")).filter("text is not null").dropDuplicates(["uri"]))
+    held = ws.files.select("uri", F.col("revision").alias("held"))
+    out = rows.join(held, "uri", "left").select(
+        "uri", "text", "language", (F.coalesce("held", F.lit(0)) + 1).cast("long").alias("revision"), F.lit(False).alias("precomputed"), F.sha2("text", 256).alias("content_hash"), F.lit(ws.as_of_ms).alias("indexed_at_ms")
     )
+    indexed = stored(extract.index_files(rows))
+    found = {n: extract.relation(indexed, n) for n in ("symbols", "occurrences", "edges")}
+    found["symbols"] = found["symbols"].drop("line", "char")
+    return _replaced(ws, rows.select(F.col("uri").alias("file_uri")), out, **found)
+
+
+def remove_call_edges(ws: Workspace, uris: DataFrame) -> Workspace:
+    """Without the call edges that come from these files."""
+    return ws.with_(edges=ws.edges.join(uris.select(F.col("uri").alias("file_uri")), "file_uri", "left_anti"))
 
 
 def remove_files(ws: Workspace, uris: DataFrame) -> Workspace:
@@ -110,9 +168,11 @@ def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("schema_version = 1").select(F.explode("deltas").alias("d")).select("d.*")
 
 
-def write_event_stream(deltas: DataFrame, path: str, emitter: str, timestamp_ms: int) -> None:
-    one = deltas.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("seq", *[c for c in deltas.columns if c not in ("client", "seq")]))).alias("deltas"))
-    out = F.transform("deltas", lambda d: F.struct(F.lit(None).cast("string").alias("client"), d["seq"].alias("seq"), d["action"].alias("action"), d["document"].alias("document")))
+def write_event_stream(deltas: DataFrame, path: str, emitter: str, timestamp_ms: int, span: int = 1000) -> None:
+    """Writes deltas as envelopes, each of one client and of sequence numbers within one `span`."""
+    rows = deltas.withColumn("part_", F.floor(F.col("seq") / span))
+    one = rows.groupBy("client", "part_").agg(F.sort_array(F.collect_list(F.struct("seq", "action", "document"))).alias("deltas"))
+    out = F.transform("deltas", lambda d: F.struct(F.col("client").alias("client"), d["seq"].alias("seq"), d["action"].alias("action"), d["document"].alias("document")))
     one.select(F.lit(1).alias("schema_version"), F.lit(emitter).alias("emitter_id"), F.lit(timestamp_ms).alias("timestamp_ms"), out.alias("deltas")).write.mode("append").json(path)
 
 
@@ -129,24 +189,43 @@ def scan_directory(spark: SparkSession, path: str, language: str | None = None)
 
 
 def reindex_files(ws: Workspace, uris: DataFrame, listing: DataFrame) -> Workspace:
-    """The workspace with the named files as the listing has them; what it lacks is skipped."""
-    fresh = listing.join(uris, "uri", "left_semi")
-    rows = fresh.select("uri", "text", "language", F.lit(1).cast("long").alias("revision"), F.lit(False).alias("precomputed"), "content_hash", F.lit(ws.as_of_ms).alias("indexed_at_ms"))
-    return ws.with_(files=ws.files.join(fresh, "uri", "left_anti").unionByName(rows, allowMissingColumns=True))
+    """The workspace with the named files, and all that is derived from them, as the listing (uri, text, language) has them; what it lacks is skipped."""
+    return upsert_files(ws, listing.join(uris.select("uri").distinct(), "uri", "left_semi"))
 
 
-def reindex_stale(ws: Workspace, uris: DataFrame, max_age_seconds: int) -> DataFrame:
+def stale_actions(ws: Workspace, uris: DataFrame, max_age_seconds: int) -> DataFrame:
     """(uri, action): reindexed where a file is unknown or older than the age, else skipped."""
-    rows = uris.join(ws.files.select("uri", "indexed_at_ms"), "uri", "left")
+    rows = uris.select("uri").join(ws.files.select("uri", "indexed_at_ms"), "uri", "left")
     age = S.age_seconds(F.col("indexed_at_ms"), ws.as_of_ms)
     return rows.select("uri", F.when(age.isNull() | (age > max_age_seconds), "reindexed").otherwise("skipped").alias("action"))
 
 
-def prune_deleted(ws: Workspace, listing: DataFrame) -> DataFrame:
+def reindex_stale(ws: Workspace, uris: DataFrame, max_age_seconds: int, listing: DataFrame) -> tuple[Workspace, DataFrame]:
+    """(the workspace with stale files as the listing has them, what was done with each uri: reindexed or skipped)."""
+    actions = stale_actions(ws, uris, max_age_seconds)
+    return reindex_files(ws, actions.filter("action = 'reindexed'"), listing), actions
+
+
+def listing_changes(ws: Workspace, listing: DataFrame) -> DataFrame:
+    """(uri, action) of what a listing (uri, content_hash) has that the index lacks or holds otherwise (upsert), and the reverse (delete)."""
+    held = ws.files.select("uri", F.col("content_hash").alias("held"), F.lit(True).alias("known"))
+    rows = listing.select("uri", "content_hash", F.lit(True).alias("there")).join(held, "uri", "full_outer")
+    action = F.when(F.col("there").isNull(), "delete").when(F.col("known").isNull() | ~F.col("held").eqNullSafe(F.col("content_hash")), "upsert")
+    return rows.select("uri", action.alias("action")).filter("action is not null")
+
+
+def deleted_files(ws: Workspace, listing: DataFrame) -> DataFrame:
     """(uri) of the files that the listing lacks."""
     return ws.files.join(listing, "uri", "left_anti").select("uri")
 
 
+def prune_deleted(ws: Workspace, listing: DataFrame) -> tuple[Workspace, DataFrame]:
+    """(the workspace without the files that the listing lacks, one row of how many were checked and removed)."""
+    gone = deleted_files(ws, listing)
+    counts = ws.files.agg(F.count("*").alias("checked")).crossJoin(F.broadcast(gone.agg(F.count("*").alias("removed"))))  # one row each
+    return remove_files(ws, gone), counts
+
+
 # packages
 
 
@@ -180,7 +259,7 @@ def mounted_package_count(slice_symbols: DataFrame) -> DataFrame:
 
 
 class SliceCache:
-    """Slices in a folder by the hash of their symbols."""
+    """Slices in a folder, of any file system that Hadoop knows, by the hash of their symbols; a registry is one that several caches share."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -192,10 +271,23 @@ class SliceCache:
         symbols.write.mode("overwrite").parquet(f"{self.path}/{content_hash}")
 
     def get(self, content_hash: str) -> DataFrame | None:
-        if not is_slice_hash(content_hash) or not Path(self.path, content_hash).exists():
+        if not is_slice_hash(content_hash) or not exists(self.spark, f"{self.path}/{content_hash}/_SUCCESS"):
             return None
         return self.spark.read.parquet(f"{self.path}/{content_hash}")
 
+    def push(self, content_hash: str, registry: SliceCache) -> bool:
+        """Copies a slice to a registry; whether this cache has it."""
+        held = self.get(content_hash)
+        if held is not None:
+            registry.insert(held, content_hash)
+        return held is not None
+
+    def fetch(self, content_hash: str, registry: SliceCache) -> DataFrame | None:
+        """The slice, from a registry if this cache lacks it; None if neither has it."""
+        if self.get(content_hash) is None and not registry.push(content_hash, self):
+            return None
+        return self.get(content_hash)
+
 
 def is_slice_hash(text: str) -> bool:
     return len(text) == 64 and all(c in "0123456789abcdefABCDEF" for c in text)
@@ -214,10 +306,14 @@ def register_tier3_source(sources: DataFrame, new: DataFrame) -> DataFrame:
     return latest(sources.unionByName(new), ["source_id"], [F.desc("imported_at_ms"), F.desc("tool_version")])
 
 
-def index_changed(batch: DataFrame, me: str) -> DataFrame:
-    """(source_session, indexed_files, affected_uris) for sessions other than me."""
-    sums = batch.groupBy(F.col("client").alias("source_session")).agg(F.countDistinct("uri").alias("indexed_files"), F.array_join(F.sort_array(F.collect_set("uri")), ",").alias("affected_uris"))
-    return sums.filter(F.col("source_session") != me)
+def index_changed(batch: DataFrame, me: str | None, indexed_files: int | DataFrame) -> DataFrame:
+    """(source_session, indexed_files, affected_uris) for the upserts of each session other than me; indexed_files is the number of files in the index, or one row of it."""
+    upserts = batch.filter("action = 'upsert'")
+    sums = upserts.groupBy(F.col("client").alias("source_session")).agg(F.array_join(F.sort_array(F.collect_set("uri")), ",").alias("affected_uris"))
+    rows = sums if me is None else sums.filter(F.col("source_session") != me)
+    if isinstance(indexed_files, int):
+        return rows.select("source_session", F.lit(indexed_files).cast("long").alias("indexed_files"), "affected_uris")
+    return rows.crossJoin(F.broadcast(indexed_files.select("indexed_files"))).select("source_session", "indexed_files", "affected_uris")  # one row
 
 
 def classify_embed_error(status: int, body: str) -> str:

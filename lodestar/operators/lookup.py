@@ -20,10 +20,21 @@ def _contains(line: Column, col: Column) -> Column:
 
 def symbols_at_positions(ws: Workspace, probes: DataFrame) -> DataFrame:
     """probes (probe, file_uri, line, col) with symbol_uri: the first occurrence, in extraction order, whose range holds the
-    position; start inclusive, end exclusive; null without one.  A hash join on the file, the range as its residual."""
-    p = probes.alias("p")
-    hit = p.join(ws.occurrences.alias("o"), (F.col("p.file_uri") == F.col("o.file_uri")) & _contains(F.col("p.line"), F.col("p.col")))
-    best = hit.groupBy("p.probe").agg(F.min_by("o.symbol_uri", "o.ordinal").alias("symbol_uri"))
+    position; start inclusive, end exclusive; null without one.
+
+    A hash join on the file and a bucket of lines.  An occurrence of n lines is in the one or two buckets of 2**level lines, the
+    least power from n on, that it touches; a probe is in one bucket of each level that occurs, of which there are 31 at most.
+    """
+    o = ws.occurrences.select("file_uri", "symbol_uri", "ordinal", "start_line", "start_char", "end_line", "end_char").filter("end_line >= start_line")
+    # one line is level 0, by far the most; the level of others is the number of bits of their last line's distance
+    level = F.when(F.col("end_line") == F.col("start_line"), 0).otherwise(F.length(F.bin(F.col("end_line").cast("long") - F.col("start_line")))).cast("int")
+    o = o.withColumn("level", level)
+    levels = o.select("level").distinct()
+    both = F.array_distinct(F.array(F.expr("shiftright(start_line, level)"), F.expr("shiftright(end_line, level)")))
+    o = o.withColumn("bucket", F.explode(both))
+    p = probes.crossJoin(F.broadcast(levels)).withColumn("bucket", F.expr("shiftright(line, level)"))  # at most 31 levels
+    hit = p.join(o, ["file_uri", "level", "bucket"]).filter(_contains(F.col("line"), F.col("col")))
+    best = hit.groupBy("probe").agg(F.min_by("symbol_uri", "ordinal").alias("symbol_uri"))
     return probes.join(best, "probe", "left").select("probe", "file_uri", "line", "col", "symbol_uri")
 
 
@@ -129,13 +140,15 @@ def file_status(ws: Workspace, uris: DataFrame) -> DataFrame:
 
 
 def index_status(ws: Workspace) -> DataFrame:
-    """One row: files, those without a vector, the last time, models in use, whether they are mixed."""
+    """One row: files, those without a vector, the last time, models in use, whether they are mixed, and `tool@version:root` of the imports, sorted."""
     held = ws.embeddings.filter("scope = 'file'").select("uri", F.lit(1).alias("has")).distinct()
     totals = ws.files.join(held, "uri", "left").agg(
         F.count("*").alias("indexed_files"), F.sum(F.when(F.col("has").isNull(), 1).otherwise(0)).alias("pending_embedding_files"), F.max("indexed_at_ms").alias("last_updated_ms")
     )
     models = ws.embeddings.agg(F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models"), (F.countDistinct("model") > 1).alias("mixed_models"))
-    return totals.crossJoin(F.broadcast(models))  # one row each
+    tools = F.concat("tool_name", F.lit("@"), "tool_version", F.lit(":"), "project_root")
+    sources = ws.tier3_sources.agg(F.array_join(F.sort_array(F.collect_set(tools)), ",").alias("tier3_sources"))
+    return totals.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(sources))  # one row each
 
 
 def abi_hash(ws: Workspace) -> DataFrame:

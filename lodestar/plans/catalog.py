@@ -14,6 +14,7 @@ from lodestar.operators import lookup as L
 from lodestar.operators import relations as R
 from lodestar.operators import vectors as V
 from lodestar.plans.projection import AS_OF_MS, CTES, table, vectors, workspace
+from lodestar.streaming import deltas as D
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +28,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
         QUERIES[f.__name__] = f
         if sql is not None:
             text = sql.strip()
-            ORACLE[f.__name__] = CTES + ("" if text.startswith(",") else "") + text
+            ORACLE[f.__name__] = CTES + text
         return f
 
     return register
@@ -158,10 +159,21 @@ def batch_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.withColumn("age_seconds", F.col("age_seconds").cast("double"))  # has nulls
 
 
-@query("""SELECT (SELECT count(*) FROM files) AS indexed_files, (SELECT CAST(count(*) AS BIGINT) FROM files WHERE uri NOT IN (SELECT uri FROM embeddings_ WHERE scope = 'file')) AS pending_embedding_files, (SELECT max(indexed_at_ms) FROM files) AS last_updated_ms,
+TOOLS = "SELECT n_regionkey, CAST(max(n_nationkey) AS VARCHAR) AS tool_version FROM nation GROUP BY n_regionkey"
+
+
+@query(f"""SELECT (SELECT string_agg('scip@' || tool_version || ':/work/' || n_regionkey, ',' ORDER BY 'scip@' || tool_version || ':/work/' || n_regionkey) FROM ({TOOLS})) AS tier3_sources, (SELECT count(*) FROM files) AS indexed_files, (SELECT CAST(count(*) AS BIGINT) FROM files WHERE uri NOT IN (SELECT uri FROM embeddings_ WHERE scope = 'file')) AS pending_embedding_files, (SELECT max(indexed_at_ms) FROM files) AS last_updated_ms,
  (SELECT string_agg(DISTINCT model, ',' ORDER BY model) FROM embeddings_) AS models, (SELECT count(DISTINCT model) > 1 FROM embeddings_) AS mixed_models""")
 def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.index_status(workspace(spark, sf_dir))
+    ws = workspace(spark, sf_dir)
+    return L.index_status(ws.with_(tier3_sources=I.register_tier3_source(ws.tier3_sources, _imports(spark, sf_dir))))
+
+
+def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import for every nation, by its region's project."""
+    root = F.concat(F.lit("/work/"), "n_regionkey")
+    n = table(spark, sf_dir, "nation")
+    return n.select(I.source_id(F.lit("scip"), root).alias("source_id"), F.lit("scip").alias("tool_name"), F.col("n_nationkey").cast("string").alias("tool_version"), root.alias("project_root"), (F.lit(1000) + F.col("n_nationkey")).cast("long").alias("imported_at_ms"))
 
 
 KIND_CODE = "CASE s.kind WHEN 'class' THEN 2 WHEN 'interface' THEN 3 WHEN 'method' THEN 4 WHEN 'variable' THEN 6 WHEN 'function' THEN 7 WHEN 'type_alias' THEN 14 ELSE 0 END"
@@ -313,11 +325,11 @@ def all_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # graph
 
-SEEDS = ", seeds AS (SELECT uri AS seed, file_uri FROM symbols WHERE kind = 'function' AND is_exported) "
+SEEDS = ", seeds AS (SELECT uri AS seed, file_uri FROM symbols) "
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace(spark, sf_dir).symbols.filter("kind = 'function' and is_exported").select(F.col("uri").alias("seed"))
+    return workspace(spark, sf_dir).symbols.select(F.col("uri").alias("seed"))
 
 
 CALLERS = """, up AS (SELECT seed, seed AS node, 0 AS d FROM seeds UNION SELECT u.seed, e.from_uri, u.d + 1 FROM up u JOIN edges e ON e.to_uri = u.node WHERE u.d < 4)
@@ -351,13 +363,12 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.callers(workspace(spark, sf_dir), _seeds(spark, sf_dir))
 
 
-BATCH = ", changed AS (SELECT uri FROM files WHERE module_id = 'cargo/n7'), seeds AS (SELECT uri AS seed, file_uri FROM symbols WHERE kind IN ('function', 'method', 'class', 'interface', 'constructor', 'macro') AND file_uri IN (SELECT uri FROM changed)) "
+BATCH = ", changed AS (SELECT uri FROM client), seeds AS (SELECT uri AS seed, file_uri FROM symbols WHERE kind IN ('function', 'method', 'class', 'interface', 'constructor', 'macro') AND file_uri IN (SELECT uri FROM changed)) "
 
 
-@query(BATCH + CALLERS + FILE_REACH + SUMMARY)
+@query(CLIENT + BATCH + CALLERS + FILE_REACH + SUMMARY.replace("f.edges_source FROM", "f.edges_source, true AS indexed FROM") + " UNION ALL SELECT uri, 0, 0, 'low', 'empty', false FROM changed WHERE uri NOT IN (SELECT uri FROM files)")
 def blast_radius_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = workspace(spark, sf_dir)
-    return G.blast_radius_batch(ws, ws.files.filter("module_id = 'cargo/n7'").select("uri"))
+    return G.blast_radius_batch(workspace(spark, sf_dir), _client(spark, sf_dir).select("uri"))
 
 
 ONE = BUSIEST + ", seeds AS (SELECT s.uri AS seed, s.file_uri FROM symbols s JOIN busiest b ON b.symbol_uri = s.uri) "
@@ -380,7 +391,9 @@ def _unit(alias: str, of: str) -> str:
 COS = "round(list_cosine_similarity({0}, {1}), 6)"
 
 
-@query(SEEDS + CALLERS + FILE_REACH + _unit("pool", "(SELECT * FROM embeddings_ WHERE scope = 'symbol')") + f""", near AS (SELECT q.uri AS seed, p.uri, {COS.format('q.v', 'p.v')} AS score FROM pool q JOIN pool p ON p.uri <> q.uri WHERE q.uri IN (SELECT seed FROM items)),
+@query(SEEDS + CALLERS + FILE_REACH + _unit("pool", "(SELECT * FROM embeddings_ WHERE scope = 'symbol')") + f""", fpool AS (SELECT uri, CAST(vector AS DOUBLE[]) AS v FROM embeddings_ WHERE scope = 'file'),
+asked AS (SELECT y.uri, coalesce(o.v, f.v) AS v FROM symbols y LEFT JOIN pool o ON o.uri = y.uri LEFT JOIN fpool f ON f.uri = y.file_uri WHERE y.uri IN (SELECT seed FROM items)),
+near AS (SELECT q.uri AS seed, p.uri, {COS.format('q.v', 'p.v')} AS score FROM asked q JOIN pool p ON p.uri <> q.uri WHERE q.v IS NOT NULL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, uri) AS rn FROM near WHERE score >= 0.2) WHERE rn <= 20)
 SELECT b.seed, b.uri, b.score, CASE WHEN EXISTS (SELECT 1 FROM items i WHERE i.seed = b.seed AND i.file_uri = s.file_uri) THEN 'both' ELSE 'semantic' END AS source FROM best b JOIN symbols s ON s.uri = b.uri""")
 def semantic_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,10 +466,10 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.top_k(pool.select(F.col("uri").alias("query"), "vector"), pool, 5, exclude_self=True)
 
 
-@query(POOL + "SELECT query, uri, score, model FROM (" + _top("(SELECT uri AS query, v FROM pool)", "(SELECT * FROM pool WHERE regexp_matches(uri, '^vec:[^/]*[05]$'))", 10, "WHERE q.query <> p.uri AND round(list_cosine_similarity(q.v, p.v), 6) >= 0.1") + ")")
+@query(", s AS (SELECT * FROM embeddings_ WHERE scope = 'file')" + _unit("pool", "s") + "SELECT query, uri, score, model FROM (" + _top("(SELECT uri AS query, v FROM pool)", "(SELECT * FROM pool WHERE regexp_matches(uri, '^file:///repo/n1[^/]*/[^/]*[.]rs$'))", 10, "WHERE q.query <> p.uri AND round(list_cosine_similarity(q.v, p.v), 6) >= 0.1") + ")")
 def nearest_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = vectors(spark, sf_dir)
-    return V.top_k(pool.select(F.col("uri").alias("query"), "vector"), pool, 10, 0.1, True, "vec:*[05]")
+    pool = workspace(spark, sf_dir).embeddings.filter("scope = 'file'")
+    return V.top_k(pool.select(F.col("uri").alias("query"), "vector"), pool, 10, 0.1, True, "/repo/n1*/*.rs")
 
 
 @query(", s AS (SELECT * FROM embeddings_ WHERE scope = 'symbol')" + _unit("pool", "s") + _top("(SELECT uri AS query, v FROM pool)", "pool", 3, "WHERE q.query <> p.uri"))
@@ -520,7 +533,7 @@ def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.outliers(vectors(spark, sf_dir), 20)
 
 
-@query(POOL + """SELECT uri, novelty, nearest FROM (SELECT x.uri, round(1 - round(list_cosine_similarity(x.v, y.v), 6), 6) AS novelty, y.uri AS nearest,
+@query(POOL + """SELECT uri, novelty, nearest, round(avg(novelty) OVER (), 6) AS mean FROM (SELECT x.uri, round(1 - round(list_cosine_similarity(x.v, y.v), 6), 6) AS novelty, y.uri AS nearest,
  row_number() OVER (PARTITION BY x.uri ORDER BY round(list_cosine_similarity(x.v, y.v), 6) DESC, y.uri) AS rn FROM pool x CROSS JOIN pool y WHERE x.label < 3 AND y.label >= 3) WHERE rn = 1""")
 def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = vectors(spark, sf_dir)
@@ -583,6 +596,17 @@ def semantic_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.semantic_diff(x.join(y, "doc_id"))
 
 
+@query(f""", d AS (SELECT doc_id, {LETTER_LIST.format('text')} AS v FROM documents), spool AS (SELECT uri, v FROM (SELECT 'item:' || item_id AS uri, {LETTER_LIST.format('text')} AS v FROM benchmark) WHERE list_dot_product(v, v) > 0),
+ways AS (SELECT 'doc:' || x.doc_id AS query, list_transform(list_zip(y.v, x.v), lambda p: p[1] - p[2]) AS v FROM d x JOIN d y ON y.doc_id = x.doc_id + 1)
+SELECT query, uri, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, uri) AS rn FROM (SELECT w.query, p.uri, {COS.format('w.v', 'p.v')} AS score FROM ways w CROSS JOIN spool p WHERE list_dot_product(w.v, w.v) > 0)) WHERE rn <= 3""")
+def semantic_diff_toward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    x = d.select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("query"), F.col("text").alias("text_a"))
+    y = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("text_b"))
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item:"), "item_id").alias("uri"), V.letter_vector(F.col("text")).alias("vector"), F.lit("letters").alias("model"))
+    return V.moving_toward(x.join(y, "doc_id"), items, 3)
+
+
 TEXT_POOL = f", pool0 AS (SELECT 'doc:' || doc_id AS uri, {LETTER_LIST.format('text')} AS v, 'letters' AS model FROM documents), pool AS (SELECT * FROM pool0 WHERE list_dot_product(v, v) > 0), asked AS (SELECT 'item:' || item_id AS query, {LETTER_LIST.format('text')} AS v FROM benchmark) "
 
 
@@ -625,14 +649,10 @@ def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.journal_replay(rows)[0]
 
 
-@query(DELTA + "SELECT 'session' || (seq % 5) AS source_session, count(DISTINCT uri) AS indexed_files, string_agg(DISTINCT uri, ',' ORDER BY uri) AS affected_uris FROM deltas WHERE seq % 5 <> 0 GROUP BY 1")
+@query(DELTA + "SELECT 'session' || (seq % 5) AS source_session, (SELECT count(*) FROM files) AS indexed_files, string_agg(DISTINCT uri, ',' ORDER BY uri) AS affected_uris FROM deltas WHERE action = 'upsert' AND seq % 5 <> 0 GROUP BY 1")
 def index_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.index_changed(_deltas(spark, sf_dir).withColumn("client", F.concat(F.lit("session"), F.col("seq") % 5)), "session0")
-
-
-@query(CLIENT + f"SELECT c.uri, CASE WHEN f.uri IS NULL OR ({AS_OF_MS} - f.indexed_at_ms) // 1000 > 332750 THEN 'reindexed' ELSE 'skipped' END AS action FROM client c LEFT JOIN files f USING (uri)")
-def reindex_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.reindex_stale(workspace(spark, sf_dir), _client(spark, sf_dir).select("uri"), 332_750)
+    known = workspace(spark, sf_dir).files.agg(F.count("*").alias("indexed_files"))
+    return I.index_changed(_deltas(spark, sf_dir).withColumn("client", F.concat(F.lit("session"), F.col("seq") % 5)), "session0", known)
 
 
 LISTING = ", listing AS (SELECT f.uri, CAST(f.indexed_at_ms + CAST(floor(s_acctbal) AS BIGINT) - 4000 AS BIGINT) AS mtime_ms FROM files f JOIN supplier ON s_suppkey = f.id WHERE s_acctbal > 1000) "
@@ -644,8 +664,14 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(LISTING + "SELECT uri FROM files WHERE uri NOT IN (SELECT uri FROM listing)")
+def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.deleted_files(workspace(spark, sf_dir), _listing(spark, sf_dir))
+
+
+@query(LISTING + "SELECT (SELECT count(*) FROM files) AS checked, (SELECT count(*) FROM files WHERE uri NOT IN (SELECT uri FROM listing)) AS removed, (SELECT count(*) FROM symbols WHERE file_uri IN (SELECT uri FROM listing)) AS symbols_left")
 def prune_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.prune_deleted(workspace(spark, sf_dir), _listing(spark, sf_dir))
+    after, counts = I.prune_deleted(workspace(spark, sf_dir), _listing(spark, sf_dir))
+    return counts.crossJoin(F.broadcast(after.symbols.agg(F.count("*").alias("symbols_left"))))  # one row each
 
 
 @query(LISTING + "SELECT f.uri, l.mtime_ms, f.indexed_at_ms FROM files f JOIN listing l USING (uri) WHERE f.uri LIKE 'file:///repo/%' AND l.mtime_ms > f.indexed_at_ms AND f.uri IN (SELECT uri FROM embeddings_ WHERE scope = 'file')")
@@ -684,9 +710,9 @@ def register_project_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT sha256('scip:' || '/work/' || n_regionkey) AS source_id, 'scip' AS tool_name, max(n_nationkey) AS tool_version, '/work/' || n_regionkey AS project_root, CAST(1000 + max(n_nationkey) AS BIGINT) AS imported_at_ms FROM nation GROUP BY n_regionkey".replace("max(n_nationkey) AS tool_version", "CAST(max(n_nationkey) AS VARCHAR) AS tool_version"))
 def register_tier3_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = F.concat(F.lit("/work/"), "n_regionkey")
-    new = table(spark, sf_dir, "nation").select(I.source_id(F.lit("scip"), root).alias("source_id"), F.lit("scip").alias("tool_name"), F.col("n_nationkey").cast("string").alias("tool_version"), root.alias("project_root"), (F.lit(1000) + F.col("n_nationkey")).cast("long").alias("imported_at_ms"))
-    return I.register_tier3_source(new.limit(0), new)
+    new = _imports(spark, sf_dir)
+    older = new.withColumn("imported_at_ms", F.col("imported_at_ms") - 1000).withColumn("tool_version", F.lit("old"))
+    return I.register_tier3_source(older, new)
 
 
 @query("""SELECT c_custkey AS client, CASE WHEN c_custkey % 5 = 0 THEN 'cold' WHEN c_custkey % 5 = 1 THEN 'warm_full' WHEN c_custkey % 3 > 0 THEN 'warm_partial' ELSE 'cold' END AS state FROM customer""")
@@ -699,7 +725,7 @@ def lifecycle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(", up AS (SELECT s.uri, s.confidence_score AS old, CAST(60 + p.p_size % 30 AS INTEGER) AS new FROM symbols s JOIN part p ON p.p_partkey = s.id) SELECT uri, old AS old_confidence, new AS new_confidence FROM up WHERE new > old")
 def symbol_upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = workspace(spark, sf_dir).symbols
-    return s.select("uri", F.col("confidence_score").alias("old_confidence"), (60 + (F.col("confidence_score") - 40) % 30).alias("new_confidence")).filter("new_confidence > old_confidence")
+    return D.upgrades_only(s.select("uri", (60 + (F.col("confidence_score") - 40) % 30).alias("confidence_score")), s)
 
 
 # scalar functions, over the columns they are for
@@ -780,3 +806,6 @@ def normalize_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.sources import extract
 
     return extract.enrich(workspace(spark, sf_dir).symbols).select("uri", "signature_normalized")
+
+
+from lodestar.plans import lifecycle  # noqa: E402, F401 - registers its queries here

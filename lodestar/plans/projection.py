@@ -17,12 +17,12 @@ AS_OF_MS = 1_704_400_000_000
 #: Common table expressions that give DuckDB the relations of `workspace`.
 CTES = """
 WITH RECURSIVE n_supp AS (SELECT count(*) AS n FROM supplier),
-files AS (
+files AS MATERIALIZED (
   SELECT s_suppkey AS id, 'file:///repo/n' || s_nationkey || '/s' || s_suppkey || '.rs' AS uri, 'rust' AS language, CAST(1 AS BIGINT) AS revision,
     false AS precomputed, sha256(s_name) AS content_hash, 'cargo/n' || s_nationkey AS module_id,
     CAST(1704067200000 + s_suppkey * 1000 AS BIGINT) AS indexed_at_ms, CASE WHEN s_suppkey % 3 = 0 THEN 'scip_only' ELSE 'tier1' END AS edges_source
   FROM supplier),
-symbols AS (
+symbols AS MATERIALIZED (
   SELECT p_partkey AS id, f.uri AS file_uri, 'lip://local/' || substr(f.uri, 8) || '#' || replace(p_name, ' ', '_') || '_' || p_partkey AS uri,
     p_name AS display_name,
     CASE p_type WHEN 'ECONOMY' THEN 'function' WHEN 'SMALL' THEN 'variable' WHEN 'MEDIUM' THEN 'class' WHEN 'PROMO' THEN 'interface' WHEN 'STANDARD' THEN 'method' ELSE 'type_alias' END AS kind,
@@ -36,23 +36,23 @@ raw_occurrences AS (
   FROM lineitem JOIN files f ON f.id = l_suppkey JOIN symbols s ON s.id = l_partkey
   UNION ALL
   SELECT file_uri, uri, -1, CAST(id % 100000 AS INTEGER), 'definition', false, confidence_score, -1, -1, id, -1, NULL, NULL, NULL FROM symbols),
-occurrences AS (
+occurrences AS MATERIALIZED (
   SELECT file_uri, symbol_uri, start_line, start_char, start_line AS end_line, start_char + 2 AS end_char, role, is_test, confidence_score,
     row_number() OVER (PARTITION BY file_uri ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_extendedprice, role, confidence_score, is_test) AS ordinal
   FROM raw_occurrences),
-calls AS (
+calls AS MATERIALIZED (
   SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_returnflag = 'R'),
-edges AS (
+edges AS MATERIALIZED (
   SELECT x.file_uri, x.uri AS from_uri, y.uri AS to_uri, 'calls' AS kind, a * 100000000 + b AS ordinal, a, b
   FROM (SELECT DISTINCT a, b FROM calls WHERE b IS NOT NULL AND a <> b) c JOIN symbols x ON x.id = a JOIN symbols y ON y.id = b),
 raw_annotations AS (
   SELECT 'sym:' || user_id AS symbol_uri, event_type AS key, json_extract_string(props, '$.k') AS value, 'user' || user_id AS author_id, CAST(100 AS INTEGER) AS confidence,
     epoch_us(ts) // 1000 AS timestamp_ms, CASE WHEN event_id % 4 = 0 THEN 0 ELSE epoch_us(ts) // 1000 + CAST(floor(value * 100000) AS BIGINT) END AS expires_ms, ts, event_id
   FROM events),
-annotations AS (
+annotations AS MATERIALIZED (
   SELECT symbol_uri, key, value, author_id, confidence, timestamp_ms, expires_ms FROM (
     SELECT *, row_number() OVER (PARTITION BY symbol_uri, key ORDER BY ts DESC, event_id DESC) AS rn FROM raw_annotations) WHERE rn = 1),
-embeddings_ AS (
+embeddings_ AS MATERIALIZED (
   SELECT f.uri AS uri, 'file' AS scope, e.embedding AS vector, 'm' || (e.label % 2) AS model, e.label FROM embeddings e JOIN files f ON f.id = e.vec_id WHERE e.label < 5
   UNION ALL
   SELECT s.uri, 'symbol', e.embedding, 'm' || (e.label % 2), e.label FROM embeddings e JOIN symbols s ON s.id = e.vec_id),

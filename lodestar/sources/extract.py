@@ -215,6 +215,7 @@ def _tokenised(text: str, language: str) -> Extracted:
             row += 1
         if m.lastgroup != "skip":
             tokens.append((m.group(), row, len(text[starts[row] : m.start()].encode())))
+    closing = _closing(tokens)
     scopes: list[tuple[str, str] | None] = []  # what each open brace belongs to
     pending: tuple[str, str] | None = None
     mods: list[str] = []
@@ -270,7 +271,7 @@ def _tokenised(text: str, language: str) -> Extracted:
         elif re.match(r"[A-Za-z_$]", word):
             named = word not in reserved
             head = after == "(" and named and language in ("c", "cpp", "dart", "typescript", "javascript", "javascriptreact") and function is None
-            if head and before not in (".", "=", "(", ",", "new", "return", "!", "&", "@") and _has_body(tokens, i + 1):
+            if head and before not in (".", "=", "(", ",", "new", "return", "!", "&", "@") and _has_body(tokens, closing.get(i + 1)):
                 typed = language in ("c", "cpp", "dart") and re.match(r"[A-Za-z_*&>]", before or " ")
                 in_class = owner is not None and owner[0] in ("class", "interface")
                 if typed or in_class:
@@ -290,19 +291,26 @@ def _tokenised(text: str, language: str) -> Extracted:
     return out
 
 
-def _has_body(tokens: list[tuple[str, int, int]], i: int) -> bool:
-    """Whether the parenthesis at i closes before a brace that opens a body, or an arrow."""
-    depth = 0
-    for j in range(i, min(i + 400, len(tokens))):
-        word = tokens[j][0]
-        depth += (word == "(") - (word == ")")
-        if depth == 0:
-            rest = [t[0] for t in tokens[j + 1 : j + 8]]
-            for k, w in enumerate(rest):
-                if w == "{" or (w == "=" and rest[k + 1 : k + 2] == [">"]):
-                    return True
-                if w in (";", "=", ")", "}"):
-                    return False
+def _closing(tokens: list[tuple[str, int, int]]) -> dict[int, int]:
+    """Where each parenthesis that opens is closed."""
+    open_, out = [], {}
+    for j, (word, _, _) in enumerate(tokens):
+        if word == "(":
+            open_.append(j)
+        elif word == ")" and open_:
+            out[open_.pop()] = j
+    return out
+
+
+def _has_body(tokens: list[tuple[str, int, int]], closed: int | None) -> bool:
+    """Whether the parenthesis that is closed there comes before a brace that opens a body, or an arrow; not if it is never closed."""
+    if closed is None:
+        return False
+    rest = [t[0] for t in tokens[closed + 1 : closed + 8]]
+    for k, w in enumerate(rest):
+        if w == "{" or (w == "=" and rest[k + 1 : k + 2] == [">"]):
+            return True
+        if w in (";", "=", ")", "}"):
             return False
     return False
 
@@ -382,6 +390,17 @@ def parse_manifest(file_name: str, text: str) -> str | None:
     return m[1] if m else None
 
 
+def manifest_names(manifests: DataFrame) -> DataFrame:
+    """manifests (directory, file_name, text) with name, the package that each gives; null for none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [parse_manifest(f, t or "") for f, t in zip(batch["file_name"], batch["text"], strict=True)]
+            yield pd.DataFrame({"directory": batch["directory"], "file_name": batch["file_name"], "name": pd.Series(found, dtype=object)})
+
+    return manifests.select("directory", "file_name", "text").mapInPandas(run, "directory string, file_name string, name string")
+
+
 def resolve_module_id(files: DataFrame, manifests: DataFrame, hops: int = 12) -> DataFrame:
     """files (uri, symbol) with module_id; manifests (directory, file_name, text).
 
@@ -390,12 +409,8 @@ def resolve_module_id(files: DataFrame, manifests: DataFrame, hops: int = 12) ->
     """
     from pyspark.sql import functions as F
 
-    @F.udf("string")
-    def name(file_name: str, text: str) -> str | None:  # a few manifests per repository
-        return parse_manifest(file_name, text)
-
     kinds = F.create_map(*[F.lit(x) for p in MANIFESTS.items() for x in p])
-    held = manifests.select("directory", F.concat_ws("/", kinds[F.col("file_name")], name("file_name", "text")).alias("module"), name("file_name", "text").alias("n")).filter("n is not null")
+    held = manifest_names(manifests).filter("name is not null").select("directory", F.concat_ws("/", kinds[F.col("file_name")], "name").alias("module"))
     held = held.groupBy("directory").agg(F.min("module").alias("module"))
     path = F.regexp_replace("uri", "^file://", "")
     parts = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)

@@ -6,13 +6,13 @@ The reader keeps to the fields in use: documents (1 of Index... see FIELDS), the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import scalars as S
+from lodestar.storage import hadoop_path
 
 #: Field numbers of the messages.
 FIELDS = {
@@ -62,6 +62,7 @@ def read_message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 def varint(n: int) -> bytes:
     out = bytearray()
+    n = int(n) & (1 << 64) - 1  # a negative number as its two's complement
     while n > 127:
         out.append(n & 127 | 128)
         n >>= 7
@@ -83,7 +84,7 @@ def unpack(value: int | bytes) -> list[int]:
     out, at = [], 0
     while at < len(value):
         n, at = read_varint(value, at)
-        out.append(n)
+        out.append(n - (1 << 64) if n >> 63 else n)
     return out
 
 
@@ -289,7 +290,7 @@ def encode_document(path: str, language: str, symbols: list[dict], occurrences:
 def write_scip(symbols: DataFrame, occurrences: DataFrame, path: str, tool: str = "lodestar", version: str = "1", root: str = "") -> int:
     """Writes one index file and returns its number of documents; texts and call edges have no place in it.
 
-    Documents are encoded in the workers and reach the driver one partition at a time: the format is a single file.
+    Documents are encoded in the workers and reach the driver one partition at a time: the format is a single file. The path is of any Hadoop file system.
     """
     docs = [d for d in (F.col("signature"), F.col("documentation"))]
     s = symbols.groupBy("file_uri").agg(
@@ -307,10 +308,13 @@ def write_scip(symbols: DataFrame, occurrences: DataFrame, path: str, tool: str
             held = [encode_document(p, g, list(x) if x is not None else [], list(y) if y is not None else []) for p, g, x, y in zip(batch["path"], batch["language"], batch["symbols"], batch["occurrences"], strict=True)]
             yield pd.DataFrame({"data": held})
 
-    count = 0
-    with Path(path).open("wb") as f:
-        f.write(put(1, put(2, put(1, tool) + put(2, version)) + put(3, root)))
+    fs, at = hadoop_path(symbols.sparkSession, path)
+    out, count = fs.create(at, True), 0
+    try:
+        out.write(bytearray(put(1, put(2, put(1, tool) + put(2, version)) + put(3, root))))
         for row in rows.mapInPandas(run, "data binary").toLocalIterator():
-            f.write(put(2, bytes(row["data"])))
+            out.write(bytearray(put(2, bytes(row["data"]))))
             count += 1
+    finally:
+        out.close()
     return count

@@ -149,3 +149,9 @@ def test_scip_round_trip(spark, tmp_path):
 def test_scip_drops_paths_that_leave_the_root(spark, tmp_path):
     (tmp_path / "x.scip").write_bytes(P.put(2, P.encode_document("../evil.rs", "rust", [], [])) + P.put(2, P.encode_document("ok.rs", "rust", [], [])) + P.put(3, P.put(1, "s m p 1 ext#")))
     assert sorted(r[0] for r in P.read_scip(spark, str(tmp_path / "x.scip")).select("relative_path").collect()) == ["ok.rs", "scip://external"]
+
+
+def test_a_declaration_of_any_length_is_found():
+    parameters = ", ".join(f"int p{i}" for i in range(2000))
+    found = X.extract(f"int add({parameters}) {{ return p0; }}\nint two(int a) {{ return a; }}", "c")
+    assert [s[0] for s in found.symbols if s[1] == "function"] == ["add", "two"]

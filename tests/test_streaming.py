@@ -18,10 +18,34 @@ def test_live_files_follow_deltas(spark, tmp_path):
     write(source, "2.json", [("x", 4, "upsert", "a", "4"), ("x", 1, "upsert", "b", "stale"), ("x", 4, "upsert", "a", "4")])
     live.start(D.read_deltas(spark, str(source), 1), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r["uri"], r["content_hash"]) for r in live.read().collect()) == [("a", "4"), ("b", "2")]
-    assert {r["source_session"] for r in live.notices_for("x").collect()} == {"y"}
+    assert live.notices_for("x").count() == 0  # deletes aren't announced
+    assert {(r["source_session"], r["affected_uris"]) for r in live.notices_for("y").collect()} == {("x", "a"), ("x", "a,b")}
     assert seen == [(0, 2), (1, 1)]
 
 
+def test_each_client_has_its_own_sequence(spark, tmp_path):
+    live = D.LiveFiles(spark, str(tmp_path / "live"), buckets=4)
+    live.merge(spark.createDataFrame([("A", 500, "upsert", "u", "old"), ("A", 501, "delete", "v", None)], D.CHANGES), 0)
+    live.merge(spark.createDataFrame([("B", 3, "upsert", "u", "new"), ("A", 400, "upsert", "v", "late")], D.CHANGES), 1)
+    assert [(r["uri"], r["content_hash"]) for r in live.read().collect()] == [("u", "new")]
+    for n in range(2, 6):
+        live.merge(spark.createDataFrame([("B", n + 2, "upsert", f"w{n}", "x")], D.CHANGES), n)
+    live.merge(spark.createDataFrame([("B", 7, "upsert", "w5", "x")], D.CHANGES), 5)  # again
+    assert sorted(r["uri"] for r in live.read().collect()) == ["u", "w2", "w3", "w4", "w5"]
+    assert len([p for p in (tmp_path / "live" / "manifest").iterdir() if p.name.startswith("batch=")]) == 2
+
+
+def test_keyed_state_outlives_a_delete(spark, tmp_path):
+    source = tmp_path / "in"
+    write(source, "1.json", [("A", 500, "upsert", "u", "old"), ("A", 501, "delete", "v", None)])
+    state = D.live_state(D.read_deltas(spark, str(source)))
+    write(source, "2.json", [("B", 3, "upsert", "u", "new"), ("A", 400, "upsert", "v", "late")])
+    q = state.writeStream.format("memory").queryName("two_clients").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["uri"]: (r["action"], r["seq"]) for r in spark.table("two_clients").collect()}
+    assert got == {"u": ("upsert", 3), "v": ("delete", 501)}
+
+
 def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
     live = D.LiveFiles(spark, str(tmp_path / "live"))
     batch = spark.createDataFrame([("x", 1, "upsert", "a", "1")], D.CHANGES)
