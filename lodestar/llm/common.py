@@ -1,10 +1,8 @@
-"""What the operators share: checkpoints, batch slicing, connected components."""
+"""What the operators share: stored tables, batch slicing, connected components."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm import textkit
+from lodestar.storage import fresh_dir, stored
+
+__all__ = ["column", "components", "content_key", "contract", "forest", "free_name", "fresh_dir", "load", "picked", "reachable", "slices", "stored"]
 
 #: Bytes of text that one vectorised step works on; bounds memory, has no effect on results.
 CHUNK_BYTES = 1 << 20
@@ -23,35 +24,6 @@ CHUNK_BYTES = 1 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; an own one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    known = sc._jsc.sc().getCheckpointDir()
-    if path is None and known.isEmpty():
-        path = tempfile.mkdtemp(prefix="lodestar-checkpoint-")
-    if known.isEmpty():
-        sc.setCheckpointDir(path)
-    return path or known.get()
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, lineage cut: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As checkpoint, as a table of compressed columns: smaller where there are many rows of numbers."""
-    path = fresh_dir(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `limit` bytes of text; a longer text is a piece of its own."""
     _, off = textkit.buffers(batch.column(batch.schema.get_field_index(column)))
@@ -138,7 +110,7 @@ def components(edges: DataFrame) -> DataFrame:
     to the shared folder.  Nulls must not occur; loops are ignored, no edges give no rows.
     Steps are taken until none changes anything; their number grows as the logarithm of the longest path.
     """
-    work = checkpoint(contract(edges.filter("a <> b")).distinct())
+    work = stored(contract(edges.filter("a <> b")).distinct())
     before = None
     while True:
         both = work.unionAll(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -148,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        work = checkpoint(small.filter("a <> b").distinct())
+        work = stored(small.filter("a <> b").distinct())
         now = work.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm import textkit
-from lodestar.llm.common import checkpoint, column, picked, slices
+from lodestar.llm.common import column, picked, slices, stored
 
 _UNSEEN = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>?")
@@ -163,10 +163,10 @@ def _small(df: DataFrame, weight: str, limit: int) -> DataFrame:
 def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: int, limit: int) -> DataFrame:
     """(host, template): the tokens of each host's valid classes."""
     counts = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    counts = checkpoint(counts)
+    counts = stored(counts)
     known = pages.join(_small(counts, "1", limit), "host")
-    some = checkpoint(frequent(known.select("host", "html"), share).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("some")))
-    held = checkpoint(sequences(known.join(_small(some, "size(some)", limit), "host").select("host", "page_id", "row", "html", "some")))
+    some = stored(frequent(known.select("host", "html"), share).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("some")))
+    held = stored(sequences(known.join(_small(some, "size(some)", limit), "host").select("host", "page_id", "row", "html", "some")))
     each = held.select("host", "row", F.explode("held").alias("token")).groupBy("host", "row", "token").agg(F.count("*").alias("times"))
     # equal sums over the pages: equal occurrence vectors
     vector = each.groupBy("host", "token").agg(
@@ -175,8 +175,8 @@ def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: in
     vector = vector.join(counts, "host").filter(F.col("support") >= F.greatest(F.lit(least_pages), share * F.col("pages")))
     groups = vector.groupBy("host", "support", "v1", "v2").agg(F.sort_array(F.collect_list("token")).alias("tokens")).filter(F.size("tokens") >= least_tokens)
     groups = groups.withColumn("class", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("support"), F.desc(F.size("tokens")), "tokens")))
-    groups = checkpoint(groups.select("host", "class", "support", "tokens"))
-    lists = _small(checkpoint(groups.groupBy("host").agg(F.collect_list(F.struct("class", "tokens")).alias("classes"))), "aggregate(classes, 0, (s, c) -> s + size(c.tokens))", limit)
+    groups = stored(groups.select("host", "class", "support", "tokens"))
+    lists = _small(stored(groups.groupBy("host").agg(F.collect_list(F.struct("class", "tokens")).alias("classes"))), "aggregate(classes, 0, (s, c) -> s + size(c.tokens))", limit)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int, int, int]] = set()
@@ -189,7 +189,7 @@ def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: in
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "a", "b", "how"])
 
-    said = checkpoint(held.join(lists, "host").select("host", "held", "classes").mapInArrow(check, "host string, a long, b long, how long").distinct())
+    said = stored(held.join(lists, "host").select("host", "held", "classes").mapInArrow(check, "host string, a long, b long, how long").distinct())
     orders = said.filter("a = b").groupBy("host", F.col("a").alias("class")).agg(F.countDistinct("how").alias("ways"), F.min(F.abs("how")).alias("least"))
     valid = groups.join(orders.filter("ways = 1 and least <> 0"), ["host", "class"], "left_semi")
     # of two classes that cross, the one of less support (then fewer tokens) is no part of the template
@@ -199,7 +199,8 @@ def templates(pages: DataFrame, share: float, least_pages: int, least_tokens: in
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, least_pages: int = 3, least_tokens: int = 3, limit: int = 2_000_000) -> DataFrame:
-    """(page_id, slot, text): the text of each slot of each page that has any, slots numbered from 0 in their order.
+    """(page_id, slot, text): the text of each slot of each page that has any; a slot's number is that of the template tokens before it, so
+    that an empty slot leaves those after it their numbers.
 
     Pages of one host (of its URL, lower case; '' without one) share a template.  A class is a set of at least
     `least_tokens` tokens with one occurrence vector, on `least_pages` pages and the `share` of the host's at least.  It is valid if its tokens
@@ -207,11 +208,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     tokens) goes.  Slots are what lies between template tokens: its words, without tags, entities resolved, joined
     by a space.  Comments, scripts and styles are left out.  A page of a host with fewer pages has no template: it is one slot.
     Up to `limit` hosts, or tokens of all hosts together, are broadcast to the pages; beyond, pages are shuffled by host.
-    Null or empty html has no slots.  Null ids stay null; repeated rows count as pages of their own and are repeated.  Other columns are ignored.
+    Null or empty html has no slots; very long pages are read whole.  Null ids stay null; repeated rows count as pages of their own and are repeated.  Other columns are ignored.
     """
     base = picked(pages, page_id=id_col, url=url_col, html=html_col).filter("html is not null").withColumn("page_id", F.col("page_id").cast("long"))
     base = base.select("page_id", host().alias("host"), "html", F.xxhash64("page_id", "url", "html").alias("row"))
-    known = _small(checkpoint(templates(base, share, least_pages, least_tokens, limit)), "size(template)", limit)
+    known = _small(stored(templates(base, share, least_pages, least_tokens, limit)), "size(template)", limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -227,7 +228,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         continue
                     gap = np.cumsum(fixed)[words]
                     new = np.flatnonzero(np.diff(gap, prepend=-1))
-                    for slot, (a, b) in enumerate(zip(words[new], words[np.append(new[1:], len(words)) - 1], strict=True)):
+                    for slot, a, b in zip(gap[new].tolist(), words[new], words[np.append(new[1:], len(words)) - 1], strict=True):
                         text = w.raw[w.start[lo + a] : w.end[lo + b]].tobytes().decode("utf-8", "replace")
                         if "<" in text:
                             text = _TAG.sub(" ", text)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm import textkit
-from lodestar.llm.common import checkpoint, column, free_name, picked, slices
+from lodestar.llm.common import column, free_name, picked, slices, stored
 
 ANY = np.uint64(0)
 #: Lines of fewer tokens than these that are all variable stand for themselves: no constant token tells one from another.
@@ -91,19 +91,19 @@ def grow(tokens: list[np.ndarray], similarity: float) -> list[int]:
     return out
 
 
-def recurring(docs: DataFrame, depth: int = 2, similarity: float = 0.8, min_docs: int = 3, min_tokens: int = 3, broadcast_lines: int = 1_000_000) -> DataFrame:
+def recurring(docs: DataFrame, depth: int = 2, similarity: float = 0.8, min_docs: int = 3, min_tokens: int = 1, broadcast_lines: int = 1_000_000) -> DataFrame:
     """(id, line, template, first_id, first_line) of each line whose template at least min_docs documents hold; docs has id and text.
 
     Up to `broadcast_lines` lines of open leaves (one per distinct content) are broadcast to fetch them; beyond, texts are shuffled by id.
     """
-    found = checkpoint(lines(docs, depth, min_tokens))
+    found = stored(lines(docs, depth, min_tokens))
     contents = _counted(found, "content", F.first("leaf").alias("leaf"))
-    contents = checkpoint(contents)
+    contents = stored(contents)
     # only leaves of several contents can generalise, and only where enough documents meet
     leaves = contents.groupBy("leaf").agg(F.count("*").alias("many"), F.sum("docs").alias("docs")).filter(f"many > 1 and docs >= {int(min_docs)}")
     open_ = contents.join(leaves.select("leaf"), "leaf", "left_semi").select("content", "leaf", "first.id", "first.line")
     wanted = open_.groupBy("id").agg(F.collect_list(F.struct("line", "content", "leaf")).alias("wanted"))
-    wanted = checkpoint(wanted)
+    wanted = stored(wanted)
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= broadcast_lines
     fetched = docs.join(F.broadcast(wanted) if few else wanted, "id")
 
@@ -136,7 +136,7 @@ def recurring(docs: DataFrame, depth: int = 2, similarity: float = 0.8, min_docs
         return pa.table({"content": pa.array(names, pa.int64()), "template": pa.array(names[of] if len(of) else names, pa.int64())})
 
     grown = held.groupBy("leaf").applyInArrow(templates, "content long, template long").filter("content <> template")
-    mapped = checkpoint(grown)
+    mapped = stored(grown)
     # a content that too few documents have recurs only as part of a template of several contents
     alone = contents.filter(F.col("docs") >= min_docs).select("content", F.col("content").alias("template")).join(mapped, "content", "left_anti")
     founders = mapped.select(F.col("template").alias("content"), "template").distinct().join(alone, "content", "left_anti")
@@ -174,13 +174,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return recurring(base, **params).filter("id <> first_id or line <> first_line").select("id", "line")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, similarity: float = 0.8, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, similarity: float = 0.8, min_docs: int = 3, min_tokens: int = 1) -> DataFrame:
     """(doc_id, text, lines_dropped) of every row: its text without lines whose template recurs.
 
     Lines end at LF.  A template recurs if lines of at least `min_docs` different ids follow it; its line of the smallest
     (id, number) stays, so that of a group of copies one text stays whole.  Tokens are runs of other than ASCII white space,
     ASCII case folded; a token with an ASCII digit is variable, but not in a line of one or two tokens that all have one.
-    Lines of fewer than `min_tokens` tokens are never dropped; the query and the pipeline take lines of all lengths (1).
+    Lines of fewer than `min_tokens` tokens are never dropped: by default there are none.  Very long texts and lines are read whole.
     Lines join templates of their leaf in the order of their first (id, number), at `similarity` or more agreeing tokens.
     Null ids and null texts stay as they are and count nowhere.  A text all of whose lines go is ''.  Repeated rows stay
     repeated; an id's texts count as one document and lose the same line numbers.  Other columns are ignored.

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkit
-from lodestar.llm.common import checkpoint, column, components, content_key, forest, picked, slices, stored
+from lodestar.llm.common import column, components, content_key, forest, picked, slices, stored
 
 
 def permutations(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +125,10 @@ def placed(keys: DataFrame, members: DataFrame, block: int) -> DataFrame:
     large = members.join(roots.filter(F.col("held") > block), "root").select("id", "weight")
     own = keys.join(large, "id")
     heavy = own.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("held")).filter("n > 1")
-    own = checkpoint(own.join(heavy, "key").select("key", "id", "held"))
+    own = stored(own.join(heavy, "key").select("key", "id", "held"))
     top = own.groupBy("id").agg(F.max(F.struct("held", "key")).alias("top"))
     parts = F.ceil(F.col("top.held") / block)
-    blocks = checkpoint(top.select("id", F.xxhash64("top.key", F.pmod(F.xxhash64(F.lit("part"), "id"), parts)).alias("block")))
+    blocks = stored(top.select("id", F.xxhash64("top.key", F.pmod(F.xxhash64(F.lit("part"), "id"), parts)).alias("block")))
     meets = own.join(blocks, "id").select("key", "block").distinct()
     pairs = meets.join(meets.withColumnRenamed("block", "second"), "key").filter("block <= second").select("block", "second").distinct()
     # a block of one document, or of none that share a key, is still met here with itself: it costs nothing
@@ -164,8 +164,8 @@ def similar_documents(
     keys = stored(keys.join(shared, "key"))  # those of one document are gone
     parts = components(keys.select(F.col("id").alias("a"), F.col("low").alias("b")))
     weights = owned.filter("id = rep").groupBy("id").agg((F.sum("size") + 256).alias("weight"))
-    members = checkpoint(parts.join(weights, F.col("node") == F.col("id")).select("id", "root", "weight"))
-    wanted = checkpoint(placed(keys.select("key", "id"), members, block).groupBy("id").agg(F.collect_list(F.struct("pair", "side")).alias("wanted")))
+    members = stored(parts.join(weights, F.col("node") == F.col("id")).select("id", "root", "weight"))
+    wanted = stored(placed(keys.select("key", "id"), members, block).groupBy("id").agg(F.collect_list(F.struct("pair", "side")).alias("wanted")))
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= broadcast_rows
     found = base.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
     a, b = permutations(bands * rows)
@@ -196,7 +196,7 @@ def similar_documents(
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "links": pa.array(columns[2], pa.int64())})
 
     sets = found.mapInArrow(as_sets, "pair long, side int, id long, held binary, keys binary")
-    near = checkpoint(sets.groupBy("pair").applyInArrow(compare, "a long, b long, links long"))
+    near = stored(sets.groupBy("pair").applyInArrow(compare, "a long, b long, links long"))
     classes = components(near.filter("a <> b").select("a", "b").unionAll(copies))
     links = near.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     rows_ = owned.select("id", "rep").distinct().join(links, "rep", "left").groupBy("id").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"))

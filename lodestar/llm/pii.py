@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkit
-from lodestar.llm.common import checkpoint, column, picked, slices
+from lodestar.llm.common import column, picked, slices, stored
 from lodestar.llm.decontaminate import Lookup
 
 KINDS = ("email", "phone", "ip", "card", "secret", "ssn", "iban", "person")
@@ -253,7 +253,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Other columns are ignored.
     """
     base = picked(docs, id=id_col, text=text_col).filter("text is not null").withColumn("id", F.col("id").cast("long"))
-    found = checkpoint(candidates(base).distinct())
+    found = stored(candidates(base).distinct())
     # bounded: kinds x 3**4 votes x 64 shapes x 256 words at most
     seen = found.groupBy("kind", "v0", "v1", "v2", "v3", "shape", "word").count().toPandas()
     weights = np.zeros(FEATURES)

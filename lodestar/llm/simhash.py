@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkit
-from lodestar.llm.common import checkpoint, column, components, forest, picked, slices
+from lodestar.llm.common import column, components, forest, picked, slices, stored
 
 BITS = 128
 
@@ -86,24 +86,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, duplicate_of): each document that another of its group stands for; the group's smallest id stays.
 
     A group is a connected component of documents whose fingerprints, over their distinct words
-    with ASCII case folded, are within `radius` bits of 128.  Documents of fewer than `min_features`
-    distinct words have too coarse a fingerprint and are grouped only where it is equal.  All pairs are
-    compared: recall at the radius is 1.  Equal fingerprints are compared once, through the smallest id.
+    with ASCII case folded, are within `radius` bits of 128; very long texts are read whole.  All pairs are
+    compared: recall at the radius is 1.  Documents of fewer than `min_features` distinct words are grouped where their fingerprints are equal, that is by
+    the same words: one other word in seven or fewer is a larger edit than the radius stands for, though it often moves fewer bits.  Equal fingerprints are compared once, through the smallest id.
     Null ids, null texts and texts without words are in no group.  Repeated rows count once; an id with several
     texts is in the group of each.  Other columns are ignored; an empty table gives no rows.
     `tiles` only sets how the comparison is divided.
     """
     spark = docs.sparkSession
     base = picked(docs, id=id_col, text=text_col).filter("id is not null and text is not null").withColumn("id", F.col("id").cast("long"))
-    prints = checkpoint(fingerprints(base))
+    prints = stored(fingerprints(base))
     reps = prints.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("features").alias("features"))
     pops = F.bit_count("f1") + F.bit_count("f2")
-    large = checkpoint(reps.filter(F.col("features") >= min_features).select("rep", "f1", "f2", pops.alias("pop")))
+    large = stored(reps.filter(F.col("features") >= min_features).select("rep", "f1", "f2", pops.alias("pop")))
     sizes = {r["pop"]: r["count"] for r in large.groupBy("pop").count().collect()}  # at most 129 rows
     rows = min(max(2048, -(-sum(sizes.values()) // tiles)), 1 << 20)
     parts = {p: -(-n // rows) for p, n in sizes.items()}
     names = [(p, k) for p in sorted(parts) for k in range(parts[p])]
-    pairs = [(f"{p}.{k}", f"{q}.{m}") for i, (p, k) in enumerate(names) for q, m in names[i:] if q - p <= radius]
+    pops_ = np.array([p for p, _ in names], np.int64)
+    last = np.searchsorted(pops_, pops_ + radius, side="right") - 1  # of the tiles, in the order of counts, that a tile is compared with
+    listed = [(i, f"{p}.{k}", int(last[i])) for i, (p, k) in enumerate(names)]
     copies = prints.join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
 
     def tile(table: pa.Table) -> pa.Table:
@@ -112,8 +114,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counts = F.create_map(*[F.lit(x) for p in parts.items() for x in p]) if parts else F.create_map(F.lit(-1), F.lit(1))
     named = large.withColumn("tile", F.concat_ws(".", "pop", F.pmod(F.xxhash64("f1", "f2"), counts[F.col("pop")])))
-    packed = checkpoint(named.groupBy("tile").applyInArrow(tile, "tile string, held binary"))
-    todo = spark.createDataFrame(pairs or [("", "")], "t1 string, t2 string")
+    packed = stored(named.groupBy("tile").applyInArrow(tile, "tile string, held binary"))
+    tiles_ = spark.createDataFrame(listed, "i long, t1 string, last long")
+    todo = tiles_.select("t1", F.explode(F.sequence("i", "last")).alias("i")).join(tiles_.select("i", F.col("t1").alias("t2")), "i").select("t1", "t2")
     todo = todo.join(packed.select(F.col("tile").alias("t1"), F.col("held").alias("h1")), "t1")
     todo = todo.join(packed.select(F.col("tile").alias("t2"), F.col("held").alias("h2")), "t2")
     todo = todo.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "t1", "t2")

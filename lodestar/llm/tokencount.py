@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lodestar.llm.common import checkpoint, column, content_key, picked, slices
+from lodestar.llm.common import column, content_key, picked, slices, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a byte-level BPE of the .tiktoken kind splits a text before merging.
@@ -106,7 +106,7 @@ def token_counts(
     held = read_cache(docs, cache, name)
     if held is not None:
         keys = base.filter("text is not null").select(*content_key(F.col("text"))).distinct()
-        wanted = checkpoint(keys.join(held, ["h1", "h2"], "left_anti"))
+        wanted = stored(keys.join(held, ["h1", "h2"], "left_anti"))
         few = wanted.limit(small + 1).count() <= small
         texts = texts.join(F.broadcast(wanted) if few else wanted, ["h1", "h2"], "left_semi")
     misses = texts.dropDuplicates(["h1", "h2"])

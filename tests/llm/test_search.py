@@ -216,6 +216,14 @@ def test_contaminated_of_odd_rows(spark):
     assert sorted(map(tuple, parts.collect())) == got
 
 
+def test_quotes_from_the_middle_of_common_items_are_found(spark):
+    item = [f"word{i}" for i in range(38)]
+    rows = [(d, " ".join([f"own{d}a", *item[s : s + 18], f"own{d}b"])) for d, s in enumerate(np.random.default_rng(0).integers(0, 21, 300).tolist())]
+    rows += [(d, f"other text of document {d}") for d in range(300, 600)]
+    found = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), rare_docs=10, common_share=0.0, least_seeds=3)
+    assert {r["doc_id"] for r in found.collect()} == set(range(300))
+
+
 def test_a_leak_in_most_documents_is_still_found(spark):
     item = prose(51, 40)
     rows = [(k, prose(400 + k, 30) + " " + item) for k in range(30)]
@@ -225,7 +233,7 @@ def test_a_leak_in_most_documents_is_still_found(spark):
 # lines
 
 
-def plain_lines(rows, depth=2, similarity=0.8, min_docs=3, min_tokens=3):
+def plain_lines(rows, depth=2, similarity=0.8, min_docs=3, min_tokens=1):
     """{row: numbers of the lines that go}, line by line."""
     lines = []
     for at, (i, t) in enumerate(rows):
@@ -385,6 +393,23 @@ def test_pack_holds_every_word_once_in_the_order_of_paths(spark, corpus):
     assert got == [i for _, _, i in order]
 
 
+def test_large_components_are_divided(spark, corpus):
+    base = corpus.selectExpr("doc_id as id", "text")
+    edges = packing.stored(packing.graph(packing.sketches(base, 3), 3, 2, 6))
+    parts = packing.components(edges)
+    whole, cut = (packing.divided(edges, parts, n).collect() for n in (1 << 19, 8))
+    assert {(r["a"], r["b"]) for r in whole} == {(r["a"], r["b"]) for r in edges.collect()}
+    assert {(r["a"], r["b"]) for r in cut} <= {(r["a"], r["b"]) for r in whole} and len(cut) > 0
+    of = {}
+    for r in cut:  # a document is in one part
+        assert of.setdefault(r["a"], r["part"]) == r["part"] == of.setdefault(r["b"], r["part"])
+    words = {r["doc_id"]: len(r["text"].split()) for r in corpus.select("doc_id", "text").collect()}
+    held = {}
+    for r in packing.pack(corpus, block=8).collect():
+        held[r["doc_id"]] = held.get(r["doc_id"], 0) + r["stop"] - r["start"]
+    assert held == {k: v for k, v in words.items() if v}
+
+
 def test_pack_of_odd_rows(spark):
     rows = [*ODD, (-3, "a b c"), (70_000, "d e"), (9, "shorter")]
     got = packing.pack(docs(spark, rows), window=100).collect()
