@@ -60,6 +60,18 @@ def grams_in(w: textkit.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, inside
 
 
+def spread_seeds(own: np.ndarray, counted: np.ndarray, threshold: float, n: int) -> list[int]:
+    """The rarest n-gram of each block of an item, whose n-grams are `own` (-1 for none), such that `threshold` of its words in a row hold a whole block."""
+    block = max(1, (int(threshold * len(own)) - n + 1) // 2)
+    out = []
+    for at in range(0, len(own), block):
+        some = own[at : at + block]
+        some = some[(some >= 0) & (counted[some] > 0)]
+        if len(some):
+            out.append(int(some[np.lexsort((some, counted[some]))[0]]))
+    return out
+
+
 def _items(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in parts of bounded size; any size is handled, part by part."""
     part, held = [], 0
@@ -91,7 +103,7 @@ def contaminated(
 
     Words are runs of letters and digits, ASCII case folded.  Seeds are an item's word n-grams that at most
     `common_share` of all documents, or `rare_docs` if that is more, hold, counted over the whole corpus, and in any case its `least_seeds`
-    rarest of those that occur.
+    rarest of those that occur, and where others are left out, the rarest of each stretch, so that each share of `threshold` of an item has one.
     Around every seed hit the passage is aligned with the item by words (match 2, mismatch and gap -1); score is the
     best local alignment as a share of the item's own, kept from `threshold` on and rounded to 6 digits.
     Items of fewer than n words have no seed and are not found.  Null ids and texts on either side are left out.
@@ -138,9 +150,11 @@ def contaminated(
             rare = counted[own] <= max(rare_docs, common_share * total)
             rare[:least_seeds] = True
             seeds += [(int(s), i) for s in own[rare]]
+            if not rare.all():
+                seeds += [(s, i) for s in spread_seeds(where[w.first[i] : w.first[i + 1]], counted, threshold, n)]
         if not seeds:
             continue
-        pairs = np.array(sorted(seeds), np.int64)
+        pairs = np.array(sorted(set(seeds)), np.int64)
         held = Lookup(known.values[pairs[:, 0]])
         begin = np.searchsorted(known.values[pairs[:, 0]], held.values)  # pairs are in the order of the values
         stop = np.append(begin[1:], len(pairs))

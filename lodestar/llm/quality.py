@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkit
-from lodestar.llm.common import column, picked, reachable, slices
+from lodestar.llm.common import column, picked, reachable, slices, stored
 
 BUCKETS = 1 << 16
 _CLASSES = np.zeros(256, np.uint8)  # 1 upper case, 2 digit, 3 symbol, 4 other than ASCII
@@ -183,8 +183,8 @@ def fit(texts: pa.Array, good: np.ndarray, epochs: int = 120, rate: float = 0.3,
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, bound: int, reject_toxic: bool) -> tuple[pa.Array, np.ndarray]:
-    """(texts, good) of at most `bound` labelled documents, those of the smallest hashes of ids; docs has id and text."""
+def labelled(docs: DataFrame, labels: DataFrame, bound: int, reject_toxic: bool, bytes_bound: int) -> tuple[pa.Array, np.ndarray]:
+    """(texts, good) of at most `bound` labelled documents of `bytes_bound` bytes together, those of the smallest hashes of ids; docs has id and text."""
     rows = labels.select(F.col("`doc_id`").cast("long").alias("id"), F.col("`quality`").cast("int").alias("quality"), F.col("`toxic`").cast("int").alias("toxic"))
     rows = rows.filter("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     bad = F.col("quality") < 1
@@ -192,14 +192,19 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, reject_toxic: bool)
         bad = bad | (F.col("toxic") > 0)
     sample = rows.withColumn("good", ~bad).orderBy(F.xxhash64("id"), "id").limit(bound).select("id", "good")
     found = docs.filter("text is not null").join(F.broadcast(sample), "id").select("id", "text", "good").groupBy("id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
+    found = stored(found)
+    sizes = found.select("id", F.xxhash64("id").alias("h"), F.octet_length("text").alias("n")).toPandas().sort_values(["h", "id"])  # `bound` rows at most
+    if sizes["n"].sum() > bytes_bound:
+        few = sizes.loc[sizes["n"].cumsum() <= bytes_bound, ["id"]]
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(few.to_numpy().tolist(), "id long")), "id", "left_semi")
     table = found.toArrow().sort_by("id")
     return table.column("text").combine_chunks() if len(table) else pa.array([], pa.string()), table.column("good").to_numpy().astype(bool)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = 8000, reject_toxic: bool = True) -> Model | None:
-    """A model fitted on at most `bound` labelled documents; None if they aren't of both kinds."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = 8000, reject_toxic: bool = True, bytes_bound: int = 64 << 20) -> Model | None:
+    """A model fitted on at most `bound` labelled documents of `bytes_bound` bytes together; None if they aren't of both kinds."""
     base = picked(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    texts, good = labelled(base, labels, bound, reject_toxic)
+    texts, good = labelled(base, labels, bound, reject_toxic, bytes_bound)
     return fit(texts, good) if good.any() and not good.all() else None
 
 
@@ -238,7 +243,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(doc_id, quality) of each row that the classifier keeps; quality in [0, 1], rounded to 6 digits.
 
     labels has doc_id, quality (below 1: bad) and toxic (with reject_toxic, above 0: bad as well).  The field is
-    fitted on at most `bound` labelled documents; every document is then scored on its whole text.
+    fitted on at most `bound` labelled documents, and 64 MB of them; every document, however long, is then scored on its whole text.
+    Of equal qualities none goes before another: each row is held against the threshold alone.
     A null or empty text, or one without a word, has quality 0 and is rejected.  Null ids are scored as any other row; repeated
     rows stay repeated.  Labels with a null doc_id or quality are left out, a null toxic counts as 0, and of several labels of a
     document the worst counts.  Without labels of both kinds nothing can be learned: all rows are kept, with a null quality.

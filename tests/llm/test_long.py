@@ -36,7 +36,7 @@ OPERATORS = {
     "quality": lambda d, tmp: quality.good_documents(d, d.selectExpr("doc_id", "cast(doc_id > 6 as int) as quality", "0 as toxic")),
     "decontaminate": lambda d, tmp: decontaminate.contaminated(d, d.filter("doc_id = 8").selectExpr("doc_id as item_id", "text")),
     "html": lambda d, tmp: htmltemplate.extract(pages(d)),
-    "linededup": lambda d, tmp: linededup.dedup_lines(d, min_tokens=1),
+    "linededup": lambda d, tmp: linededup.dedup_lines(d),
     "minhash": lambda d, tmp: minhash.similar_documents(d),
 }
 
@@ -66,7 +66,7 @@ def test_many_dropped_lines_of_one_document(spark):
     many = "line\n" * 100_000
     rows = [(1, "line"), (2, many), (3, "other\nline")]
     began = time.time()
-    got = {r["doc_id"]: (r["text"], r["lines_dropped"]) for r in linededup.dedup_lines(docs(spark, rows), min_tokens=1).collect()}
+    got = {r["doc_id"]: (r["text"], r["lines_dropped"]) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
     assert got == {1: ("line", 0), 2: ("", 100_000), 3: ("other", 1)} and time.time() - began < 60
 
 

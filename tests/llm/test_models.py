@@ -1,14 +1,18 @@
 """Token counts, private data, quality and templates: exact round trips, held-out accuracy, plain versions."""
 
 import collections
+import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DATA, ODD, docs, prose, table, texts
 from pyspark.sql import functions as F
 
 from lodestar.llm import htmltemplate, pii, quality, textkit, tokencount
+from lodestar.llm.queries import QUERIES
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -102,6 +106,42 @@ def test_private_spans_of_the_corpus(spark):
     assert sum(len(got[i] - sure[i]) for i in got) <= 0.05 * total
 
 
+# what the formats are, written down once more
+FORMATS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9_.+-]*@(?:[A-Za-z0-9-]+[.])+(?:com|org|net|example)(?![\w-])(?![.]\w)",
+    "ip": r"(?<![\d.])(?:\d{1,3}[.]){3}\d{1,3}(?![\d.])",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<![\d.+-])(?:\d{4}(?: \d{4}){3}|\d{13,19})(?![\d-]| \d)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: [0-9A-Z]{4}){4,6}(?: [0-9A-Z]{1,3})?(?!\w)",
+    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])",
+}
+
+
+def plain_true(kind, span):
+    digits = [int(c) for c in span if c.isdigit()]
+    if kind == "ip":
+        return all(int(x) < 256 for x in span.split("."))
+    if kind == "card":
+        return sum(sum(divmod(d * 2, 10)) if k % 2 else d for k, d in enumerate(reversed(digits))) % 10 == 0
+    if kind == "ssn":
+        a, b, c = span.split("-")
+        return a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
+    if kind == "iban":
+        packed = span.replace(" ", "")
+        return int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in packed[4:] + packed[:4])) % 97 == 1
+    return kind != "secret" or any(c.isdigit() for c in span) and len(set(span)) >= 8
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_private_spans_against_plain_formats(spark, sf):
+    """Every span that formats and checksums, written down here, call private is found in the whole table, and few others of these kinds are."""
+    got = {(r["doc_id"], r["start"], r["stop"], r["kind"]) for r in pii.private_spans(spark.read.parquet(f"{DATA}/{sf}/documents.parquet")).collect()}
+    want = {(i, m.start(), m.end(), k) for i, t in texts(sf).items() for k, f in FORMATS.items() for m in re.finditer(f, t) if plain_true(k, m.group())}
+    assert len(want) > 20 and len(got & want) >= 0.97 * len(want)
+    others = {x for x in got if x[3] in FORMATS} - want
+    assert len(others) <= 0.03 * len(want)
+
+
 def test_private_spans_of_odd_rows(spark):
     rows = [*ODD, (None, "write to a.b@example.org now"), (20, "write to a.b@example.org now"), (20, "write to a.b@example.org now"), (21, "é " * 30 + "a.b@example.org")]
     got = sorted(((r["doc_id"], r["start"], r["stop"]) for r in pii.private_spans(docs(spark, rows)).collect()), key=str)
@@ -143,6 +183,61 @@ def test_held_out_documents_are_told_apart(spark):
     assert one == {r["doc_id"]: r["quality"] for r in quality.score(some.coalesce(1), model).collect()}
 
 
+def plain_quality(model, text):
+    """Of one text, line by line, with sums in logarithms."""
+    symbols = {c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'-?\"()"}
+    hashes = textkit.words(pa.array([text])).hash.tolist()
+    every = [bytes(x).lower() for x in re.findall(rb"[^ \t\n\r\x0b\x0c]+", text.encode())]
+    rows, scores, sizes, at = [], [], [], 0
+    for line in text.encode().split(b"\n"):
+        found = list(re.finditer(rb"[^ \t\r\x0b\x0c]+", line))
+        if not found:
+            continue
+        span, n = line[found[0].start() : found[-1].end()], len(found)
+        share = lambda f, span=span: sum(map(f, span)) / len(span)
+        again = sum(at + k > 0 and hashes[at + k] == hashes[at + k - 1] for k in range(n)) / n
+        row = [1.0, math.log1p(n), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in symbols), share(lambda c: c >= 128), min(len(span) / n / 10, 3)]
+        rows.append([*row, float(span[-1:] in b".!?"), again, len(set(hashes)) / len(hashes), math.log1p(len(every))])
+        scores.append(sum(model.words[h >> 48] for h in hashes[at : at + n]))
+        sizes.append(len(span))
+        at += n
+    if not rows:
+        return 0.0
+    for k in range(len(rows)):
+        before = [rows[k - 1][c] if k else 0.0 for c in (0, 2, 4, 7, 8)]
+        after = [rows[k + 1][c] if k + 1 < len(rows) else 0.0 for c in (0, 2, 4, 7, 8, 9)]
+        scores[k] += sum((x - m) / s * w for x, m, s, w in zip(rows[k] + before + after, model.mean, model.spread, model.dense, strict=True))
+    total = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    emit = [(0.0, x) for x in scores]  # of bad and of good
+    steps = model.steps.tolist()
+    ahead = [emit[0]]
+    for e in emit[1:]:
+        ahead.append(tuple(e[j] + total(ahead[-1][0] + steps[0][j], ahead[-1][1] + steps[1][j]) for j in (0, 1)))
+    back = [(0.0, 0.0)]
+    for e in reversed(emit[1:]):
+        back.append(tuple(total(steps[i][0] + e[0] + back[-1][0], steps[i][1] + e[1] + back[-1][1]) for i in (0, 1)))
+    good = [1 / (1 + math.exp(min(700, a[0] + b[0] - a[1] - b[1]))) for a, b in zip(ahead, reversed(back), strict=True)]
+    return sum(s * g for s, g in zip(sizes, good, strict=True)) / sum(sizes)
+
+
+def test_quality_against_a_plain_field(spark):
+    """The query's rows over the whole table: each text is scored line by line in Python, with the weights that were learned."""
+    sf = f"{DATA}/sf0.01"
+    corpus, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(corpus, marks)
+    got = {r["doc_id"]: r["quality"] for r in QUERIES["op6_quality"](spark, sf).collect()}
+    want = {i: plain_quality(model, t) for i, t in texts().items()}
+    sure = {i for i, q in want.items() if abs(q - model.threshold) > 1e-6}
+    assert {i for i in sure if want[i] >= model.threshold} == set(got) & sure and 100 < len(got) < len(want)
+    assert all(abs(got[i] - want[i]) < 1e-5 for i in set(got) & sure)
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    rows = [(k, prose(k, 40)) for k in range(30)]
+    some, good = quality.labelled(docs(spark, rows).selectExpr("doc_id as id", "text"), labels(spark, [(k, k % 2, 0) for k in range(30)]), 1000, True, 2000)
+    assert 0 < len(some) < 30 and len(some) == len(good) and sum(len(t.as_py().encode()) for t in some) <= 2000
+
+
 def test_quality_of_odd_rows(spark):
     good = [(100 + k, prose(k, 30) + ".\n" + prose(50 + k, 30) + ".") for k in range(40)]
     bad = [(200 + k, "$$$ ### " * 20 + "\nBUY!! NOW!! " * 5) for k in range(40)]
@@ -177,14 +272,26 @@ def test_slots_hold_what_differs(spark):
     rows = [(k, f"http://site.example/{k}", page(k, 1 + k % 4)) for k in range(8)]
     got = collections.defaultdict(list)
     for r in htmltemplate.extract(pages(spark, rows)).orderBy("page_id", "slot").collect():
-        got[r["page_id"]].append(r["text"])
+        got[r["page_id"]].append((r["slot"], r["text"]))
     for k in range(8):
         want = [prose(k, 4)]
         for j in range(1 + k % 4):
             want += [prose(1000 * k + j, 3), prose(2000 * k + j, 2)]
-        assert got[k] == [*want, prose(3000 + k, 12), prose(4000 + k, 5)]
+        assert [t for _, t in got[k]] == [*want, prose(3000 + k, 12), prose(4000 + k, 5)]
+    # one place has one number on pages of as many items
+    assert [n for n, _ in got[1]] == [n for n, _ in got[5]] != [n for n, _ in got[2]]
     beyond = htmltemplate.extract(pages(spark, rows), limit=0)
-    assert sorted((r["page_id"], r["slot"], r["text"]) for r in beyond.collect()) == sorted((i, s, t) for i, own in got.items() for s, t in enumerate(own))
+    assert sorted((r["page_id"], r["slot"], r["text"]) for r in beyond.collect()) == sorted((i, s, t) for i, own in got.items() for s, t in own)
+
+
+def test_an_empty_slot_keeps_its_number(spark):
+    page_ = lambda k, title: f"<html><head><title>{title}</title></head><body><div>{prose(k, 5)}</div><p>All rights</p></body></html>"
+    rows = [(k, f"http://site.example/{k}", page_(k, "" if k == 3 else prose(90 + k, 2))) for k in range(6)]
+    got = collections.defaultdict(dict)
+    for r in htmltemplate.extract(pages(spark, rows)).collect():
+        got[r["page_id"]][r["slot"]] = r["text"]
+    title, body = sorted(got[0])
+    assert all(got[k] == {title: prose(90 + k, 2), body: prose(k, 5)} for k in (0, 1, 2, 4, 5)) and got[3] == {body: prose(3, 5)}
 
 
 def plain_template(own, share=0.5, least_pages=3, least_tokens=3):
@@ -229,8 +336,6 @@ def plain_template(own, share=0.5, least_pages=3, least_tokens=3):
 def test_templates_of_the_pages(spark, sf):
     t = table("pages", sf)
     hosts = collections.defaultdict(list)
-    import pyarrow as pa
-
     for u, h in zip(t["url"], t["html"], strict=True):
         w, _ = htmltemplate.tokens(pa.array([h]))
         hosts[u.split("/")[2].lower()].append(w.hash.view(np.int64).tolist())
@@ -242,8 +347,6 @@ def test_templates_of_the_pages(spark, sf):
 
 
 def test_tokens_of_tags():
-    import pyarrow as pa
-
     w, tag = htmltemplate.tokens(pa.array(['a<b class="x>y">c d</b >e<br/>f <3 g<!-- <p> --><script>h</script>', None, "<", "<p", "x < y", ""]))
     own = [[(w.raw[a:b].tobytes().decode(), bool(k)) for a, b, k in zip(w.start[lo:hi], w.end[lo:hi], tag[lo:hi])] for lo, hi in zip(w.first[:-1], w.first[1:])]
     assert own[0][:2] == [("a", False), ("<b", True)]
