@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+All stages read texts of any length whole, leave columns that they don't know, whatever their names, as they are, and give no rows
+for an empty table.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +27,10 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the line classifier keeps, trained on the labels of these documents; all of them where no labels teach both kinds."""
+    """The rows that the line classifier keeps, trained on the labels of these documents; all of them where no labels teach both kinds.
+
+    A null or empty text, or one without a word, goes; a null id is judged by its text like any other; repeated rows stay or go together.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.kept_rows(docs, model)
 
@@ -32,6 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows without recurring lines, and n_chars of what is left; a row that loses its last word to this goes.
 
     Lines recur from RECURRING documents on: smaller groups of copies are left whole for the next stage to choose from.
+    Rows with a null id or text stay as they are; an empty text has no line and stays; repeated rows lose the same lines.  Of lines of one
+    template that of the smallest id, then number, stays.
     """
     count = free_name(docs, "lines_dropped")
     cut = linededup.without_lines(docs, linededup.dropped_lines(docs, min_docs=RECURRING, min_tokens=1), "doc_id", "text", count)
@@ -41,17 +50,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; rows of one id stay or go together."""
+    """One document of each group of near copies, that of the smallest id; rows of one id stay or go together.
+
+    Null ids, null texts and texts without words are in no group and stay.
+    """
     return _without(docs, simhash.near_copies(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no benchmark item is found."""
+    """The documents in which no benchmark item is found.
+
+    Null ids, null and empty texts stay, and all rows do where the benchmark is empty; repeated rows stay or go together.
+    """
     return _without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def related_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of related documents: (window, piece, doc_id, start, stop)."""
+    """Windows of related documents: (window, piece, doc_id, start, stop).
+
+    Null ids, null texts and texts without words are in no window; rows that share an id are one document, the one of the most words.
+    """
     return packing.pack(docs)
 
 
