@@ -71,10 +71,10 @@ def apply_delta(ws: Workspace, deltas: DataFrame) -> Workspace:
     def of(field: str) -> DataFrame:
         sent = kept.filter(given).select(F.col("uri").alias("file_uri"), F.posexplode(field).alias("ordinal", "x")).select("file_uri", F.col("ordinal").cast("long").alias("ordinal"), "x.*")
         made = extract.relation(new, field)
-        return sent.unionByName(made.select(*[c for c in made.columns if c in sent.columns or c in ws.__getattribute__(field).columns]), allowMissingColumns=True)
+        return sent.unionByName(made.select(*[c for c in made.columns if c in sent.columns or c in getattr(ws, field).columns]), allowMissingColumns=True)
 
     symbols = of("symbols")
-    after = ws.symbols.join(changed, "file_uri", "left_anti").select("file_uri", "uri", "display_name", "ordinal").unionByName(symbols.select("file_uri", "uri", "display_name", "ordinal"))
+    after = ws.symbols.join(changed, "file_uri", "left_anti").unionByName(symbols, allowMissingColumns=True).select("file_uri", "uri", "display_name", "ordinal")
     raw = extract.relation(indexed.join(missing, "uri", "left_semi"), "edges")
     return _replaced(ws, changed, files, symbols, of("occurrences"), of("edges").unionByName(backfill_edges(raw, after), allowMissingColumns=True))
 
