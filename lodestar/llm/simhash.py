@@ -1,23 +1,26 @@
 """Operator 4, SimHash near-dedup: tiled exact comparison of 128-bit fingerprints.
 
-Fingerprints are sorted into tiles of one population count each.  A pair of tiles whose
-population counts differ by more than the radius is skipped, as no two of their members can
-be within it; every other pair is compared exhaustively with numpy exclusive-or and bit counts.
+Two fingerprints within the radius are close in one of eight chunks of 16 bits, as not all chunks can differ by more than
+their share (see limits).  Chunk by chunk, fingerprints are sorted into tiles of equal leading bits, and within pairs of close tiles into
+buckets of equal trailing bits; only close buckets are compared, with numpy exclusive-or and bit counts.  No pair is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkit
 from lodestar.llm.common import column, components, forest, picked, slices, stored
 
-BITS = 128
+BITS, CHUNK = 128, 16
+#: Rows of a bucket to aim at, and pairs compared at once. Neither has an effect on results.
+BUCKET, BLOCK = 32, 1 << 16
 
 
 def distinct_words(w: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all rows of a and b within the radius; with same, only i < j."""
+    """Indices (i, j) of all rows of a and b within the radius, by comparing all; with same, only i < j. The plain version of chunk_pairs."""
     found_i, found_j = [], []
     width = 1 << 13
     for left in range(0, len(b), width):
@@ -82,50 +85,107 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 22, min_features: int = 8, tiles: int = 24) -> DataFrame:
+def limits(radius: int) -> list[tuple[int, int, int]]:
+    """(bits of the chunk, bits of its quarter, chunk's number) that two fingerprints within the radius may differ by; they keep to those of one chunk at least.
+
+    If both halves differed by more than their limits (which are radius - 1 together), the whole would by more than the radius; so too for
+    the quarters of a half and the chunks of a quarter.  A limit of -1 is never kept to: such chunks are left out.
+    """
+
+    def shares(r: int) -> tuple[int, int]:
+        return (r - 1) // 2, r // 2
+
+    quarters = [q for half in shares(radius) for q in shares(half)]
+    return [(c, quarters[k // 2], k) for k, c in enumerate(c for q in quarters for c in shares(q)) if c >= 0]
+
+
+def masks(bits: int, flips: int) -> list[int]:
+    """All numbers of so many bits of which at most `flips` are set."""
+    return [sum(1 << k for k in some) for n in range(min(bits, flips) + 1) for some in combinations(range(bits), n)]
+
+
+def chunk_pairs(a: np.ndarray, b: np.ndarray, chunk: int, flips: int, within: int, radius: int, same: bool, bits: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of all rows of a and b within the radius whose last `bits` bits of the chunk differ by at most `flips`, and whose quarter by at most `within`.
+
+    With same, a is b, and only i < j, some of them twice.
+    """
+    bits = min(bits, max(0, (len(b) // BUCKET).bit_length() - 1))
+
+    def sorted_(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by bucket, where the buckets begin, and the rows' quarters."""
+        key = (x[:, chunk // 4] >> np.uint64(CHUNK * (chunk % 4)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        rows = np.argsort(key, kind="stable")
+        return rows, np.append(0, np.cumsum(np.bincount(key, minlength=1 << bits))), (x[rows, chunk // 4] >> np.uint64(2 * CHUNK * (chunk // 2 % 2))).astype(np.uint32)
+
+    (rows_a, first_a, quarter_a), (rows_b, first_b, quarter_b) = sorted_(a), sorted_(b)
+    flipped, found_i, found_j = np.array(masks(bits, flips), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(np.diff(first_a)).tolist():
+        near = k ^ flipped
+        if same:
+            near = near[near >= k]
+        many = first_b[near + 1] - first_b[near]
+        at = np.repeat(first_b[near] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        if not len(at):
+            continue
+        part = quarter_b[at]
+        step = max(1, BLOCK // len(at))
+        for top in range(int(first_a[k]), int(first_a[k + 1]), step):
+            x = quarter_a[top : min(top + step, int(first_a[k + 1]))]
+            hits = np.flatnonzero(np.bitwise_count(x[:, None] ^ part).ravel() <= within)
+            i, j = rows_a[top + hits // len(at)], rows_b[at[hits % len(at)]]
+            close = np.bitwise_count(a[i] ^ b[j]).sum(axis=1) <= radius
+            found_i.append(i[close])
+            found_j.append(j[close])
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    if same:
+        i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+    return i, j
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 22, min_features: int = 8, tile_rows: int = 1 << 19) -> DataFrame:
     """(doc_id, duplicate_of): each document that another of its group stands for; the group's smallest id stays.
 
     A group is a connected component of documents whose fingerprints, over their distinct words
-    with ASCII case folded, are within `radius` bits of 128; very long texts are read whole.  All pairs are
-    compared: recall at the radius is 1.  Documents of fewer than `min_features` distinct words are grouped where their fingerprints are equal, that is by
+    with ASCII case folded, are within `radius` bits of 128; very long texts are read whole.  All pairs that
+    can be are compared: recall at the radius is 1.  Documents of fewer than `min_features` distinct words are grouped where their fingerprints are equal, that is by
     the same words: one other word in seven or fewer is a larger edit than the radius stands for, though it often moves fewer bits.  Equal fingerprints are compared once, through the smallest id.
     Null ids, null texts and texts without words are in no group.  Repeated rows count once; an id with several
     texts is in the group of each.  Other columns are ignored; an empty table gives no rows.
-    `tiles` only sets how the comparison is divided.
+    `tile_rows`, about the rows that a task compares with as many others, only sets how the comparison is divided.
     """
     spark = docs.sparkSession
     base = picked(docs, id=id_col, text=text_col).filter("id is not null and text is not null").withColumn("id", F.col("id").cast("long"))
     prints = stored(fingerprints(base))
     reps = prints.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("features").alias("features"))
-    pops = F.bit_count("f1") + F.bit_count("f2")
-    large = stored(reps.filter(F.col("features") >= min_features).select("rep", "f1", "f2", pops.alias("pop")))
-    sizes = {r["pop"]: r["count"] for r in large.groupBy("pop").count().collect()}  # at most 129 rows
-    rows = min(max(2048, -(-sum(sizes.values()) // tiles)), 1 << 20)
-    parts = {p: -(-n // rows) for p, n in sizes.items()}
-    names = [(p, k) for p in sorted(parts) for k in range(parts[p])]
-    pops_ = np.array([p for p, _ in names], np.int64)
-    last = np.searchsorted(pops_, pops_ + radius, side="right") - 1  # of the tiles, in the order of counts, that a tile is compared with
-    listed = [(i, f"{p}.{k}", int(last[i])) for i, (p, k) in enumerate(names)]
+    large = stored(reps.filter(F.col("features") >= min_features).select("rep", "f1", "f2"))
+    bits = min(CHUNK, max(2, (large.count() // tile_rows).bit_length()))  # that are equal in a tile
     copies = prints.join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
 
+    def leading(chunk: int) -> Column:
+        return F.shiftrightunsigned("f1" if chunk < 4 else "f2", CHUNK * (chunk % 4 + 1) - bits).bitwiseAND((1 << bits) - 1)
+
+    kept_to = limits(radius)
+    chunked = large.withColumn("in", F.explode(F.array(*(F.struct(F.lit(k).alias("chunk"), leading(k).alias("tile")) for _, _, k in kept_to)))).select("rep", "f1", "f2", "in.*")
+    parts = stored(chunked.groupBy("chunk", "tile").agg(F.ceil(F.count("*") / tile_rows).alias("parts")))  # at most 8 << bits rows
+    named = chunked.join(F.broadcast(parts), ["chunk", "tile"]).withColumn("part", F.pmod(F.xxhash64("f1", "f2"), "parts"))
+
     def tile(table: pa.Table) -> pa.Table:
         both = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("f1", "f2", "rep")], axis=1)
-        return pa.table({"tile": table.column("tile")[:1], "held": pa.array([both.tobytes()], pa.binary())})
-
-    counts = F.create_map(*[F.lit(x) for p in parts.items() for x in p]) if parts else F.create_map(F.lit(-1), F.lit(1))
-    named = large.withColumn("tile", F.concat_ws(".", "pop", F.pmod(F.xxhash64("f1", "f2"), counts[F.col("pop")])))
-    packed = stored(named.groupBy("tile").applyInArrow(tile, "tile string, held binary"))
-    tiles_ = spark.createDataFrame(listed, "i long, t1 string, last long")
-    todo = tiles_.select("t1", F.explode(F.sequence("i", "last")).alias("i")).join(tiles_.select("i", F.col("t1").alias("t2")), "i").select("t1", "t2")
-    todo = todo.join(packed.select(F.col("tile").alias("t1"), F.col("held").alias("h1")), "t1")
-    todo = todo.join(packed.select(F.col("tile").alias("t2"), F.col("held").alias("h2")), "t2")
+        return table.slice(0, 1).select(["chunk", "tile", "part"]).append_column("held", pa.array([both.tobytes()], pa.binary()))
+
+    packed = stored(named.groupBy("chunk", "tile", "part").applyInArrow(tile, "chunk int, tile long, part long, held binary").withColumn("name", F.concat_ws(".", "chunk", "tile", "part")))
+    near = spark.createDataFrame([(k, m, flips - m.bit_count(), within) for flips, within, k in kept_to for m in masks(bits, flips)], "chunk int, mask long, flips int, within int")
+    todo = packed.select("chunk", "tile", F.col("name").alias("t1")).join(near, "chunk").withColumn("tile", F.col("tile").bitwiseXOR(F.col("mask")))
+    todo = todo.join(packed.select("chunk", "tile", F.col("name").alias("t2")), ["chunk", "tile"]).filter("t1 <= t2").select("chunk", "flips", "within", "t1", "t2")
+    todo = todo.join(packed.select(F.col("name").alias("t1"), F.col("held").alias("h1")), "t1")
+    todo = todo.join(packed.select(F.col("name").alias("t2"), F.col("held").alias("h2")), "t2")
     todo = todo.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "t1", "t2")
 
     def compare(table: pa.Table) -> pa.Table:
         found = []
-        for t1, t2, h1, h2 in zip(*(table.column(c).to_pylist() for c in ("t1", "t2", "h1", "h2")), strict=True):
+        for t1, t2, h1, h2, chunk, flips, within in zip(*(table.column(c).to_pylist() for c in ("t1", "t2", "h1", "h2", "chunk", "flips", "within")), strict=True):
             x, y = np.frombuffer(h1, np.int64).reshape(-1, 3), np.frombuffer(h2, np.int64).reshape(-1, 3)
-            i, j = close_pairs(x[:, :2].view(np.uint64), y[:, :2].view(np.uint64), radius, t1 == t2)
+            i, j = chunk_pairs(x[:, :2].view(np.uint64), y[:, :2].view(np.uint64), chunk, flips, within, radius, t1 == t2, CHUNK - bits)
             found.append(forest(x[i, 2], y[j, 2]))
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})

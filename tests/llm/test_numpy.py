@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,33 @@ def test_close_pairs_are_all_pairs_within_the_radius(same):
     assert got == want and len(want) > 5
 
 
+@pytest.mark.parametrize("radius", [0, 1, 5, 13, 22, 30])
+@pytest.mark.parametrize("same", [True, False])
+def test_chunks_hold_all_pairs_within_the_radius(radius, same):
+    rng = np.random.default_rng(radius)
+    x = rng.integers(0, 2**64, (1500, 2), np.uint64)
+    x[:, 0] &= np.uint64(0xFF0FFF3FFFFF)  # some chunks have few values
+    for k in range(1, 600):  # edits around the radius
+        bits = np.zeros(128, np.uint8)
+        bits[rng.permutation(128)[: rng.integers(0, radius + 4)]] = 1
+        x[600 + k] = x[k // 3] ^ np.packbits(bits).view(np.uint64)
+    y = x if same else x[rng.permutation(1500)[:1100]]
+    want = set(zip(*(k.tolist() for k in simhash.close_pairs(x, y, radius, same)), strict=True))
+    got = [simhash.chunk_pairs(x, y, k, flips, within, radius, same) for flips, within, k in simhash.limits(radius)]
+    assert {p for i, j in got for p in zip(i.tolist(), j.tolist(), strict=True)} == want and len(want) > 50
+
+
+def test_chunks_spare_most_comparisons():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2**64, (200_000, 2), np.uint64)
+    x[100_000:100_500] = x[:500] ^ np.uint64(0x0100200400801003)
+    began = time.process_time()
+    got = [simhash.chunk_pairs(x, x, k, flips, within, 22, True) for flips, within, k in simhash.limits(22)]
+    took = time.process_time() - began
+    assert {p for i, j in got for p in zip(i.tolist(), j.tolist(), strict=True)} >= {(k, 100_000 + k) for k in range(500)}
+    assert took < 25, took  # comparing all takes a minute
+
+
 def suffixes(text, piece):
     own = np.repeat(np.arange(len(piece) - 1), np.diff(piece))
     return [tuple(text[i : piece[own[i] + 1]]) for i in range(len(text))]

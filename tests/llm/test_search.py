@@ -46,6 +46,11 @@ def test_near_copies_of_odd_rows(spark):
     assert simhash.near_copies(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_of_divided_tiles(spark, corpus):
+    got = {r["doc_id"]: r["duplicate_of"] for r in simhash.near_copies(corpus, tile_rows=40).collect()}
+    assert got == plain_groups(texts().items())
+
+
 # fingerprints
 
 
