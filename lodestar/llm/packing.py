@@ -209,22 +209,44 @@ def walk(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
     nodes = np.unique(nodes)
     x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
     source, target, w = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([weight, weight])
-    degree = np.bincount(source, minlength=len(nodes))
-    order = np.lexsort((target, degree[target], -w, source))
-    target = target[order].tolist()
-    first = np.concatenate([[0], np.cumsum(degree)]).tolist()
-    seen = [False] * len(nodes)
-    path, place, out = [], [], []
-    for start in np.lexsort((np.arange(len(nodes)), degree)).tolist():
-        at, step = start, 0
-        while at is not None and not seen[at]:
-            seen[at] = True
-            out.append(at)
-            path.append(start)
-            place.append(step)
+    order = np.argsort(source, kind="stable")
+    first = np.append(0, np.cumsum(np.bincount(source, minlength=len(nodes))))
+    out, start, place = follow(first, target[order].astype(np.int32), w[order])
+    return nodes[out], nodes[start], place.astype(np.int64)
+
+
+def follow(first: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As walk, by the numbers of nodes: node k's neighbours are target[first[k] : first[k + 1]], which are put in order of preference.
+
+    Takes 28 bytes a node besides its arguments, and bounded pieces of them.
+    """
+    n, at = len(first) - 1, 0
+    degree = np.diff(first).astype(np.int32)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(first, first[at] + BLOCK, side="right")) - 1)
+        lo, hi = int(first[at]), int(first[to])
+        own, source = target[lo:hi], np.repeat(np.arange(to - at), degree[at:to])
+        target[lo:hi] = own[np.lexsort((own, degree[own], -weight[lo:hi].astype(np.int64), source))]
+        at = to
+    starts = np.argsort(degree, kind="stable").astype(np.int32)
+    out, start, place = (np.empty(n, np.int32) for _ in range(3))
+    seen, k = bytearray(n), 0
+    # single elements of memory views are Python's own numbers
+    near, begin, node_, start_, place_ = (memoryview(x) for x in (target, first, out, start, place))
+    for beginning in memoryview(starts):
+        at, step = beginning, 0
+        while at >= 0 and not seen[at]:
+            seen[at] = 1
+            node_[k], start_[k], place_[k] = at, beginning, step
+            k += 1
             step += 1
-            at = next((t for t in target[first[at] : first[at + 1]] if not seen[t]), None)
-    return nodes[out], nodes[path], np.array(place, np.int64)
+            for t in near[begin[at] : begin[at + 1]]:
+                if not seen[t]:
+                    at = t
+                    break
+            else:
+                at = -1
+    return out, start, place
 
 
 def graph(prints: DataFrame, reach: int, least: int, degree: int) -> DataFrame:
@@ -236,26 +258,69 @@ def graph(prints: DataFrame, reach: int, least: int, degree: int) -> DataFrame:
 
 
 def divided(edges: DataFrame, parts: DataFrame, block: int) -> DataFrame:
-    """(part, a, b, agree): the edges to walk along; a part is a component, or less than one where that has more than `block` edges.
+    """(part, a, b, agree): all edges; a part is some whole components, of about `block` edges together where these allow it.
 
-    A larger component is divided into groups of documents that follow their nearest neighbours to each other, and a group of more than `block` edges
-    by hash; edges from one part to another are not walked.
+    parts has (node, root) of the components. No edge is left out, whatever the sizes.
     """
-    rooted = stored(edges.join(parts.withColumnRenamed("node", "a"), "a").select("root", "a", "b", "agree"))
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
-    large = stored(sizes.filter(F.col("n") > block))
-    if large.isEmpty():
-        return rooted.withColumnRenamed("root", "part")
-    small = rooted.join(large, "root", "left_anti").select(F.col("root").alias("part"), "a", "b", "agree")
-    own = rooted.join(large, "root", "left_semi").select("a", "b", "agree")
-    ends = own.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "agree")
-    best = ends.groupBy("e.x").agg(F.max_by("e.y", F.struct("agree", -F.col("e.y"))).alias("y"))
-    groups = stored(components(best.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    pairs = own.join(groups.select(F.col("node").alias("a"), F.col("root").alias("g")), "a").join(groups.select(F.col("node").alias("b"), F.col("root").alias("h")), "b").filter("g = h")
-    held = pairs.groupBy("g").agg(F.ceil(F.count("*") / block).alias("cut"))
-    piece = lambda c: F.xxhash64("g", F.pmod(F.xxhash64(F.lit("part"), c), F.col("cut")))
-    pairs = pairs.join(held, "g").withColumn("part", piece("a")).filter(F.col("part") == piece("b"))
-    return small.unionByName(pairs.select("part", "a", "b", "agree"))
+    number = max(1, edges.count() // block)
+    return edges.join(parts.withColumnRenamed("node", "a"), "a").select(F.pmod(F.xxhash64("root"), F.lit(number)).alias("part"), "a", "b", "agree")
+
+
+def walked(parted: DataFrame, tasks: int) -> DataFrame:
+    """(id, path, place) of every node of the edges (part, a, b, agree), as walk over all of them; parts are walked one by one.
+
+    Edges come sorted, either way, from the cluster: besides a part's nodes, a task holds 26 bytes an edge of it.
+    """
+    ways = (F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    rows = parted.withColumn("e", F.explode(F.array(*ways))).select("part", "e.x", "e.y", F.col("agree").cast("byte"))
+    # a number of partitions of its own: these few bytes are much work, which must not be merged into one task
+    rows = rows.repartition(tasks, "part").sortWithinPartitions("part", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        targets: list[np.ndarray] = []
+        weights: list[np.ndarray] = []
+        part = None
+
+        def add(x: np.ndarray, y: np.ndarray, agree: np.ndarray) -> None:
+            begin = np.flatnonzero(np.diff(x) != 0) + 1
+            begin, count = np.append(0, begin), np.diff(np.concatenate([[0], begin, [len(x)]]))
+            if nodes and nodes[-1][-1] == x[0]:  # goes on from the batch before
+                counts[-1][-1] += count[0]
+                begin, count = begin[1:], count[1:]
+            if len(begin):
+                nodes.append(x[begin])
+                counts.append(count)
+            targets.append(y.copy())
+            weights.append(agree.copy())
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids, first, weight = np.concatenate(nodes), np.append(0, np.cumsum(np.concatenate(counts))), np.concatenate(weights)
+            for k, y in enumerate(targets):
+                targets[k] = np.searchsorted(ids, y).astype(np.int32)
+            target = np.concatenate(targets)
+            for held in (nodes, counts, targets, weights):
+                held.clear()
+            found = follow(first, target, weight)
+            for at in range(0, len(ids), BLOCK):
+                out, start, place = (f[at : at + BLOCK] for f in found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[start]), pa.array(place.astype(np.int64))], names=["id", "path", "place"])
+
+        for batch in batches:
+            parts, x, y, agree = (column(batch, c).to_numpy() for c in ("part", "x", "y", "agree"))
+            begin = np.flatnonzero(np.diff(parts) != 0) + 1
+            for lo, hi in zip(np.append(0, begin), np.append(begin, len(parts)), strict=True):
+                if lo == hi:
+                    continue
+                if part is not None and parts[lo] != part:
+                    yield from done()
+                part = parts[lo]
+                add(x[lo:hi], y[lo:hi], agree[lo:hi])
+        if nodes:
+            yield from done()
+
+    return rows.mapInArrow(run, "id long, path long, place long")
 
 
 def pack(
@@ -267,8 +332,8 @@ def pack(
     values; a document has at most `degree` nearest ones. All documents that have one of the 16 values in common are compared,
     which finds every pair that agrees at all; the time is quadratic in the number of different sketches that have two values in
     common.  Documents of equal sketches are not compared: each is linked to those within `reach` rows either way (at least half of
-    `degree`), in a ring by id.  Paths are walked within connected components; one of more than `block` edges is divided first, along its
-    weaker links (see divided), so that no task holds more.  Paths follow one another in the order of
+    `degree`), in a ring by id.  Paths are walked along all edges: connected components are walked whole, however large, several together up to about
+    `block` edges, which has no effect on results.  A task holds its largest component, at about 26 bytes an edge and 60 a document.  Paths follow one another in the order of
     their first documents' ids, and windows of `window` words are filled along them: every word of every document
     is in exactly one window, and only the last window may be short.  Words are runs of other than ASCII white space; texts of any length are read whole.
     Null ids, null texts and texts without words are left out.  Rows that share an id are one document,
@@ -277,18 +342,10 @@ def pack(
     base = picked(docs, id=id_col, text=text_col).filter("id is not null and text is not null").withColumn("id", F.col("id").cast("long"))
     prints = stored(sketches(base, n))
     edges = stored(graph(prints, reach, least, degree))
-    # a number of partitions of its own: these few bytes are much work, which must not be merged into one task
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rooted = divided(edges, components(edges), block).repartition(tasks, "part")
-
-    def paths(table: pa.Table) -> pa.Table:
-        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
-        ids, path, place = walk(np.concatenate([a, b]), a, b, table.column("agree").to_numpy())
-        return pa.table({"id": pa.array(ids), "path": pa.array(path), "place": pa.array(place)})
-
-    walked = rooted.groupBy("part").applyInArrow(paths, "id long, path long, place long")
+    paths = walked(divided(edges, components(edges), min(block, max(1, edges.count() // tasks))), tasks)
     sizes = prints.groupBy("id").agg(F.max("words").alias("words"))
-    placed = sizes.join(walked, "id", "left").select("id", "words", F.coalesce("path", "id").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
+    placed = sizes.join(paths, "id", "left").select("id", "words", F.coalesce("path", "id").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
     # sums by range: no task sees more than its share, whatever the ids are
     shelved = stored(placed.repartitionByRange("path", "place").withColumn("shelf", F.spark_partition_id()))
     shelves = shelved.groupBy("shelf").agg(F.sum("words").alias("held"))  # a row per partition

@@ -415,6 +415,31 @@ def test_large_components_are_divided(spark, corpus):
     assert held == {k: v for k, v in words.items() if v}
 
 
+def test_components_are_walked_whole_whatever_their_size(spark, corpus):
+    base = corpus.selectExpr("doc_id as id", "text")
+    edges = packing.stored(packing.graph(packing.sketches(base, 3), 3, 2, 6))
+    want = {(r["a"], r["b"], r["agree"]) for r in edges.collect()}
+    for block in (1, 8, 1 << 19):
+        assert {(r["a"], r["b"], r["agree"]) for r in packing.divided(edges, packing.components(edges), block).collect()} == want
+    whole, small = (sorted(map(tuple, packing.pack(corpus, block=n).collect())) for n in (1 << 19, 2))
+    assert whole == small
+
+
+def test_walk_of_one_component_in_many_batches(spark):
+    rng = random.Random(3)
+    pairs = {tuple(sorted((10 * k, 10 * rng.randrange(k)))): rng.randrange(2, 17) for k in range(1, 3000)}
+    pairs |= {(-5 - 2 * k, -6 - 2 * k): 3 for k in range(20)}
+    edges = spark.createDataFrame([(7, a, b, w) for (a, b), w in pairs.items()], "part int, a long, b long, agree int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = packing.walked(edges, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    a, b = (np.array([p[k] for p in pairs]) for k in (0, 1))
+    want = packing.walk(np.concatenate([a, b]), a, b, np.array(list(pairs.values())))
+    assert sorted(map(tuple, got)) == sorted(zip(*(w.tolist() for w in want), strict=True))
+
+
 def test_pack_of_odd_rows(spark):
     rows = [*ODD, (-3, "a b c"), (70_000, "d e"), (9, "shorter")]
     got = packing.pack(docs(spark, rows), window=100).collect()
