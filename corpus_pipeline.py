@@ -69,6 +69,7 @@ def related_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Windows of related documents: (window, piece, doc_id, start, stop).
 
     Null ids, null texts and texts without words are in no window; rows that share an id are one document, the one of the most words.
+    Related documents are walked along all their links, however many are connected.
     """
     return packing.pack(docs)
 

@@ -5,7 +5,7 @@ import pytest
 from helpers import DATA, ODD, docs, edited, prose, words
 from test_search import check_pieces, cut, plain_groups, plain_leaks, plain_lines
 
-from lodestar.llm import quality
+from lodestar.llm import packing, quality
 from lodestar.llm.queries import QUERIES
 
 
@@ -67,6 +67,15 @@ def test_each_stage_does_its_work(spark, sf):
     assert whole == sorted(map(tuple, five))
 
 
+def test_packing_does_not_depend_on_how_many_documents_are_connected(spark, sf, monkeypatch):
+    given = spark.createDataFrame([(k, edited(prose(k // 30, 80), 0.02 * (k % 30), k)) for k in range(120)], "doc_id long, text string")
+    whole = sorted(map(tuple, corpus_pipeline.related_packing(spark, given, sf[0]).collect()))
+    *others, block = packing.pack.__defaults__
+    assert block == 1 << 19
+    monkeypatch.setattr(packing.pack, "__defaults__", (*others, 4))  # as if the components were larger than the block
+    assert sorted(map(tuple, corpus_pipeline.related_packing(spark, given, sf[0]).collect())) == whole
+
+
 def test_an_empty_corpus_passes_through(spark, sf):
     path, _, _ = sf
     d = spark.read.parquet(f"{path}/documents.parquet").limit(0)
