@@ -19,8 +19,8 @@ from lodestar.llm import textkit
 from lodestar.llm.common import column, components, forest, picked, slices, stored
 
 BITS, CHUNK = 128, 16
-#: Rows of a bucket to aim at, and pairs compared at once. Neither has an effect on results.
-BUCKET, BLOCK = 32, 1 << 16
+#: Rows of a bucket to aim at, pairs compared at once, and pairs found that are contracted at once. None has an effect on results.
+BUCKET, BLOCK, LINKS = 32, 1 << 16, 1 << 20
 
 
 def distinct_words(w: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -104,10 +104,10 @@ def masks(bits: int, flips: int) -> list[int]:
     return [sum(1 << k for k in some) for n in range(min(bits, flips) + 1) for some in combinations(range(bits), n)]
 
 
-def chunk_pairs(a: np.ndarray, b: np.ndarray, chunk: int, flips: int, within: int, radius: int, same: bool, bits: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all rows of a and b within the radius whose last `bits` bits of the chunk differ by at most `flips`, and whose quarter by at most `within`.
+def chunk_blocks(a: np.ndarray, b: np.ndarray, chunk: int, flips: int, within: int, radius: int, same: bool, bits: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j), block by block, of all rows of a and b within the radius whose last `bits` bits of the chunk differ by at most `flips`, and whose quarter by at most `within`.
 
-    With same, a is b, and only i < j, some of them twice.
+    With same, a is b, and only i < j, some of them twice.  A block compares about BLOCK pairs, or one row with all it may be near to.
     """
     bits = min(bits, max(0, (len(b) // BUCKET).bit_length() - 1))
 
@@ -118,7 +118,7 @@ def chunk_pairs(a: np.ndarray, b: np.ndarray, chunk: int, flips: int, within: in
         return rows, np.append(0, np.cumsum(np.bincount(key, minlength=1 << bits))), (x[rows, chunk // 4] >> np.uint64(2 * CHUNK * (chunk // 2 % 2))).astype(np.uint32)
 
     (rows_a, first_a, quarter_a), (rows_b, first_b, quarter_b) = sorted_(a), sorted_(b)
-    flipped, found_i, found_j = np.array(masks(bits, flips), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    flipped = np.array(masks(bits, flips), np.int64)
     for k in np.flatnonzero(np.diff(first_a)).tolist():
         near = k ^ flipped
         if same:
@@ -134,12 +134,30 @@ def chunk_pairs(a: np.ndarray, b: np.ndarray, chunk: int, flips: int, within: in
             hits = np.flatnonzero(np.bitwise_count(x[:, None] ^ part).ravel() <= within)
             i, j = rows_a[top + hits // len(at)], rows_b[at[hits % len(at)]]
             close = np.bitwise_count(a[i] ^ b[j]).sum(axis=1) <= radius
-            found_i.append(i[close])
-            found_j.append(j[close])
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    if same:
-        i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
-    return i, j
+            if same:
+                close &= i != j
+            i, j = i[close], j[close]
+            yield (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
+
+
+def chunk_pairs(a: np.ndarray, b: np.ndarray, chunk: int, flips: int, within: int, radius: int, same: bool, bits: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of chunk_blocks(): in a group of near copies they are as many as its size squared."""
+    found = list(chunk_blocks(a, b, chunk, flips, within, radius, same, bits))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (none, none)
+
+
+def chunk_links(x: np.ndarray, y: np.ndarray, chunk: int, flips: int, within: int, radius: int, same: bool, bits: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what chunk_pairs() would of rows (f1, f2, id): pairs are contracted as they are found, so that memory follows the rows."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size = [], 0
+    for i, j in chunk_blocks(x[:, :2].view(np.uint64), y[:, :2].view(np.uint64), chunk, flips, within, radius, same, bits):
+        held.append((x[i, 2], y[j, 2]))
+        size += len(i)
+        if size > max(LINKS, len(a)) or len(held) > LINKS:
+            a, b = forest(*(np.concatenate([part, *(h[k] for h in held)]) for k, part in enumerate((a, b))))
+            held, size = [], 0
+    return forest(*(np.concatenate([part, *(h[k] for h in held)]) for k, part in enumerate((a, b))))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 22, min_features: int = 8, tile_rows: int = 1 << 19) -> DataFrame:
@@ -185,8 +203,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = []
         for t1, t2, h1, h2, chunk, flips, within in zip(*(table.column(c).to_pylist() for c in ("t1", "t2", "h1", "h2", "chunk", "flips", "within")), strict=True):
             x, y = np.frombuffer(h1, np.int64).reshape(-1, 3), np.frombuffer(h2, np.int64).reshape(-1, 3)
-            i, j = chunk_pairs(x[:, :2].view(np.uint64), y[:, :2].view(np.uint64), chunk, flips, within, radius, t1 == t2, CHUNK - bits)
-            found.append(forest(x[i, 2], y[j, 2]))
+            found.append(chunk_links(x, y, chunk, flips, within, radius, t1 == t2, CHUNK - bits))
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

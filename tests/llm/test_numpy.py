@@ -3,6 +3,7 @@
 import itertools
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -258,3 +259,24 @@ def test_reliabilities_are_recovered():
 def test_lines_with_marks_give_the_spans_of_the_whole_text():
     for text in texts().values():
         assert sorted(pii._near(text, True, False)) == sorted(pii.spans(text, False))
+
+
+def test_simhash_links_of_a_large_group_take_memory_by_rows():
+    """4,000 near copies of one text have 8 million pairs."""
+    rng = np.random.default_rng(1)
+    n = 4000
+    x = np.tile(np.append(rng.integers(0, 1 << 62, 2), 0), (n, 1)).astype(np.int64)
+    for _ in range(4):
+        x[np.arange(n), rng.integers(0, 2, n)] ^= np.int64(1) << rng.integers(0, 62, n)
+    x[:, 2] = np.arange(n) + 7
+    flips, within, chunk = simhash.limits(22)[0]
+    tracemalloc.start()
+    node, root = simhash.chunk_links(x, x, chunk, flips, within, 22, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(node.tolist()) == list(range(8, n + 7)) and set(root.tolist()) == {7}
+    assert peak < 300e6, peak  # 1,673 MB when all pairs were held
+    few = x[:200]
+    i, j = simhash.chunk_pairs(few[:, :2].view(np.uint64), few[:, :2].view(np.uint64), chunk, flips, within, 22, True)
+    links = forest(few[i, 2], few[j, 2])
+    assert all(np.array_equal(p, q) for p, q in zip(simhash.chunk_links(few, few, chunk, flips, within, 22, True), links, strict=True))
