@@ -1,6 +1,8 @@
 import random
 from collections import deque
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from lodestar.operators import ingest as I
 from lodestar.operators import lookup as L
 from lodestar.operators import relations as R
 from lodestar.operators import vectors as V
+from lodestar.operators import walks as K
 from lodestar.service import NOT_BATCHABLE, RequestError, Service, UnknownOperator, default_service
+from lodestar.storage import stored
 from lodestar.workspace import Workspace
 
 
@@ -335,3 +339,55 @@ def test_service(spark):
 def test_helpers():
     assert [I.backoff_seconds(n) for n in (0, 3, 7, 8)] == [1, 8, 128, None]
     assert I.classify_embed_error(404, "model not found") == "unknown_model" and I.classify_embed_error(500, "") == "internal"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_walks_are_the_plain_search(seed, monkeypatch):
+    """Both traversals, whatever the number of links that are followed at once."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(K, "LINKS", [1 << 21, 40, 1][seed])
+    n, m = [(60, 150), (300, 900), (150, 4000)][seed]
+    pairs = np.unique(rng.integers(0, n, (m, 2)), axis=0)
+
+    def links(source, target):
+        order = np.argsort(source, kind="stable")
+        first = np.append(0, np.cumsum(np.bincount(source, minlength=n)))
+        return K.Links(SimpleNamespace(first=lambda _: first, numbers=lambda _: target[order].astype("i4")), n)
+
+    def plain(start, depth):
+        far, front = {start: 0}, [start]
+        for hop in range(1, depth + 1):
+            front = [b for a, b in pairs.tolist() if a in front and b not in far]
+            far |= dict.fromkeys(front, hop)
+        return far
+
+    seeds = np.arange(0, n, 7)
+    want = {(int(s), v): h for s in seeds for v, h in plain(int(s), 3).items() if h}
+    step, got = K.Step(n, links(pairs[:, 0], pairs[:, 1])), {}
+    for own, levels in K.walk(step, seeds, 3):
+        for hop, keys in enumerate(levels[1:], 1):
+            got |= {(int(own[k >> step.shift]), int(k & (1 << step.shift) - 1)): hop for k in keys}
+    assert got == want
+    levels = K.Spread(n, links(pairs[:, 1], pairs[:, 0]))(seeds, 3)
+    assert {(int(s), int(v)): hop for hop, level in enumerate(levels, 1) for k, s in enumerate(seeds) for v in K.nodes_of(level, k)} == want
+
+
+def test_traversals_make_no_rows_of_hops(spark, monkeypatch):
+    """What a hop reaches is not written: only the edges and names are, once, whatever the depth."""
+    written = []
+    monkeypatch.setattr(G, "stored", lambda df: written.append(df.columns) or stored(df))
+    ws, seeds = call_chain(spark), spark.createDataFrame([("lip://local//a.rs#c",)], "seed string")
+    assert {(r["node"], r["distance"]) for r in G.callers(ws, seeds, 4).collect()} == {("lip://local//a.rs#b", 1), ("lip://local//a.rs#a", 2)}
+    assert not [c for c in written if "distance" in c or "seed" in c]
+
+
+def test_a_file_with_callers_has_their_distance(spark):
+    """b.rs uses a symbol of a.rs and, two calls away, calls it: its items have distance 2, and it isn't a direct dependent."""
+    names = [("file:///a.rs", "lip://local//a.rs#x", "x", True, 30), ("file:///a.rs", "lip://local//a.rs#y", "y", False, 30), ("file:///b.rs", "lip://local//b.rs#z", "z", False, 30)]
+    occ = spark.createDataFrame([("file:///b.rs", names[0][1], 0, 0, 0, 2, "reference", False, 1)], "file_uri string, symbol_uri string, start_line int, start_char int, end_line int, end_char int, role string, is_test boolean, ordinal long")
+    files = spark.createDataFrame([(f"file:///{f}.rs", 0, "h", "tier1", "c") for f in "ab"], "uri string, indexed_at_ms long, content_hash string, edges_source string, module_id string")
+    ws = Workspace.empty(spark).with_(symbols=symbols(spark, names), occurrences=occ, files=files, edges=edges(spark, [(names[1][1], names[0][1]), (names[2][1], names[1][1])]))
+    seeds = spark.createDataFrame([(names[0][1],)], "seed string")
+    items = {(r["file_uri"], r["symbol_uri"], r["distance"]) for r in G.blast_radius_items(ws, seeds).collect()}
+    assert items == {("file:///a.rs", names[1][1], 1), ("file:///b.rs", names[2][1], 2)}
+    assert G.blast_radius(ws, seeds).first()[1:3] == (1, 2)
