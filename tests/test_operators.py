@@ -391,3 +391,33 @@ def test_a_file_with_callers_has_their_distance(spark):
     items = {(r["file_uri"], r["symbol_uri"], r["distance"]) for r in G.blast_radius_items(ws, seeds).collect()}
     assert items == {("file:///a.rs", names[1][1], 1), ("file:///b.rs", names[2][1], 2)}
     assert G.blast_radius(ws, seeds).first()[1:3] == (1, 2)
+
+
+def test_comparisons_in_blocks_are_those_of_all(spark, monkeypatch):
+    """Many equal scores, more rows of the query's own name than a block's margin, and blocks of a few rows."""
+    rng = random.Random(2)
+    rows = [(f"u{i:03d}", [rng.choice([-1, 0, 1]) for _ in range(3)]) for i in range(150)] + [("u007", [1, 1, 1])] * 30
+    pool = vecs(spark, rows)
+    queries = vecs(spark, rows[:40]).select(F.col("uri").alias("query"), "vector")
+    monkeypatch.setattr(V, "QUERY_ROWS", 1000)
+    want = [sorted(map(tuple, V.top_k(queries, pool, 6, **p).collect())) for p in ({}, {"exclude_self": True}, {"min_score": 0.9})]
+    monkeypatch.setattr(V, "QUERY_ROWS", 0)
+    for block in ((7, 40), (512, 4096)):
+        monkeypatch.setattr(V, "BLOCK", block)
+        assert [sorted(map(tuple, V.top_k(queries, pool, 6, **p).collect())) for p in ({}, {"exclude_self": True}, {"min_score": 0.9})] == want
+    plan = V.top_k(queries, pool, 6)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "ArrayAggregate" not in plan and "zip_with" not in plan
+
+
+def test_cluster_in_rounds_is_the_plain_loop(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i:03d}", rng.normal(size=3 if i % 10 else 2).round(2).tolist()) for i in range(120)] + [("zero", [0, 0, 0])]
+    unit = {u: np.array(v) / max(1e-9, np.linalg.norm(v)) for u, v in rows}
+    want: dict[str, int] = {}
+    for u in sorted(unit):
+        near = [want[x] for x in want if len(unit[x]) == len(unit[u]) and round(float(unit[x] @ unit[u]), 6) >= 0.9]
+        want[u] = min(near) if near else len(set(want.values()))
+    for block, size in (((16, 24), 40), ((512, 4096), 1 << 14)):
+        monkeypatch.setattr(V, "BLOCK", block)
+        monkeypatch.setattr(V, "ROUND", size)
+        assert {r["uri"]: r["cluster"] for r in V.cluster(vecs(spark, rows), 0.9).collect()} == want
