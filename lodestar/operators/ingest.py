@@ -339,7 +339,8 @@ def map_files(files: DataFrame, function: object, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split()[0] for c in schema.split(",")]
         for batch in batches:
-            rows = [r for u, t, k in zip(batch["uri"], batch["text"], batch["language"], strict=True) for r in function(u, t or "", k)]
-            yield pd.DataFrame(rows, columns=names)
+            for part in extract.text_slices(batch):
+                rows = [r for u, t, k in zip(part["uri"], part["text"], part["language"], strict=True) for r in function(u, t or "", k)]
+                yield pd.DataFrame(rows, columns=names)
 
     return files.select("uri", "text", "language").mapInPandas(run, schema)

@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +158,15 @@ def test_a_declaration_of_any_length_is_found():
     parameters = ", ".join(f"int p{i}" for i in range(2000))
     found = X.extract(f"int add({parameters}) {{ return p0; }}\nint two(int a) {{ return a; }}", "c")
     assert [s[0] for s in found.symbols if s[1] == "function"] == ["add", "two"]
+
+
+def test_extraction_takes_memory_by_pieces_of_a_batch():
+    """5,000 files are one batch of Arrow; found rows are held for a piece of it."""
+    text = "\n".join(f"pub fn f{i}(size: i32) {{ g{i}(); h{i}(); }}" for i in range(20))
+    batch = pd.DataFrame({"uri": [f"file:///{i}.rs" for i in range(5000)], "text": [text] * 4998 + [None, ""], "language": "rust"})
+    tracemalloc.start()
+    found = [(len(f), sum(map(len, f["edges"])), max(map(len, f["symbols"]))) for f in X.index_batches(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _, _ in found) == 5000 and sum(e for _, e, _ in found) == 4998 * 40 and found[0][2] == 20
+    assert peak < 300e6, peak
