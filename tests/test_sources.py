@@ -170,3 +170,17 @@ def test_extraction_takes_memory_by_pieces_of_a_batch():
     tracemalloc.stop()
     assert sum(n for n, _, _ in found) == 5000 and sum(e for _, e, _ in found) == 4998 * 40 and found[0][2] == 20
     assert peak < 300e6, peak
+
+
+def test_scip_folder_has_the_documents_of_the_file(spark, tmp_path, monkeypatch):
+    """An index is written by tasks as several whole files, and read by as many."""
+    syms = spark.createDataFrame([(f"file:///r/f{i % 5}.rs", f"lip://local//r/f{i % 5}.rs#s{i}", f"s{i}", "function", "fn s()", "doc" if i % 2 else None, i) for i in range(40)], "file_uri string, uri string, display_name string, kind string, signature string, documentation string, ordinal long")
+    occ = spark.createDataFrame([(f"file:///r/f{i % 7}.rs", f"lip://local//r/f.rs#s{i}", i * 100, i, i * 100, i + 2, "read_access", i % 3 == 0, i) for i in range(90)], "file_uri string, symbol_uri string, start_line int, start_char int, end_line int, end_char int, role string, is_test boolean, ordinal long")
+    monkeypatch.setattr(P, "PART_BYTES", 10)
+    assert P.write_scip_folder(syms, occ, str(tmp_path / "many"), root="/r") == P.write_scip(syms, occ, str(tmp_path / "one.scip"), root="/r") == 7
+    files = sorted(x for x in (tmp_path / "many").iterdir() if x.suffix == ".scip")
+    assert len(files) == 7 and not [x for x in (tmp_path / "many").iterdir() if x.name[0] == "_"]
+    many, one = (sorted(map(repr, P.read_scip(spark, str(tmp_path / x)).collect())) for x in ("many", "one.scip"))
+    assert many == one and len(one) == 7
+    monkeypatch.setattr(P, "HELD", 20)
+    assert [b.num_rows for b in P.document_batches((tmp_path / "one.scip").read_bytes())] != [7]
