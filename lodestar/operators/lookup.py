@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions import scalars as S
+from lodestar.storage import stored
 from lodestar.workspace import Workspace
 
 
@@ -47,7 +48,11 @@ def definitions(ws: Workspace) -> DataFrame:
 
 
 def query_definition(ws: Workspace, probes: DataFrame) -> DataFrame:
-    """Where the symbol at each position is defined; without a known place, the probed file at 0:0."""
+    """Where the symbol at each position is defined; without a known place, the probed file at 0:0.
+
+    Occurrences are read twice, so they are made once.
+    """
+    ws = ws.with_(occurrences=stored(ws.occurrences.select("file_uri", "symbol_uri", "start_line", "start_char", "end_line", "end_char", "role", "ordinal")))
     at = symbols_at_positions(ws, probes).filter("symbol_uri is not null")
     known = at.join(ws.symbols.select(F.col("uri").alias("symbol_uri"), "display_name"), "symbol_uri").join(definitions(ws), "symbol_uri", "left")
     return known.select(

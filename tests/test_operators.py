@@ -440,3 +440,11 @@ def test_letters_are_counted_in_one_pass(spark):
     plan = V.chunks(texts, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert V.explain_match(texts, "key", 1, 2)._jdf.queryExecution().executedPlan().toString().count("replace(") == 0
+
+
+def test_definitions_make_occurrences_once(spark):
+    """Their order within a file is a window over all of them: it isn't in the plan that both uses share."""
+    from lodestar.plans.catalog import QUERIES
+
+    plan = QUERIES["query_definition"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
